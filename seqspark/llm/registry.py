@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_rules, sharding, toxicity, url_filter
+from . import decontaminate, html_extract, quality_rules, sharding, sp_encode, token_files, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_sentencepiece": sp_encode.query,
+        "op2_html_extraction": html_extract.query,
         "op4_url_filter": url_filter.query,
         "op5_toxicity": toxicity.query,
+        "op6_token_files": token_files.query,
         "op7_decontamination": decontaminate.query,
         "op8_quality_rules": quality_rules.query,
         "op9_sharding": sharding.query,
