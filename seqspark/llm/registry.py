@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, quality_rules, sharding, sp_encode, token_files, toxicity, url_filter
+from . import decontaminate, html_extract, jaccard_join, quality_rules, sharding, sp_encode, token_files, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -15,8 +15,9 @@ def queries() -> dict:
         "op7_decontamination": decontaminate.query,
         "op8_quality_rules": quality_rules.query,
         "op9_sharding": sharding.query,
+        "op10_jaccard_join": jaccard_join.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.sql(), "op7_decontamination": decontaminate.sql()}
+    return {"op4_url_filter": url_filter.sql(), "op7_decontamination": decontaminate.sql(), "op10_jaccard_join": jaccard_join.sql()}
