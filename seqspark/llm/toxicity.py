@@ -62,7 +62,7 @@ class Scorer:
         seen, weight = self.seen, self.weights.__getitem__
         if len(seen) > CACHE:
             seen.clear()
-        for w in set(words) - seen.keys():
+        for w in [w for w in set(words) if w not in seen]:
             seen[w] = sum(map(weight, features_of(w)))
         place = {w: i for i, w in enumerate(dict.fromkeys(words))}
         z = np.fromiter(map(seen.__getitem__, place), float, len(place))
@@ -92,7 +92,7 @@ def fit_texts(texts: list[str | None], toxic: np.ndarray) -> tuple[np.ndarray, f
     docs = []
     for t in texts:
         words, starts = words_and_ends(t)
-        for w in set(words) - known.keys():
+        for w in [w for w in set(words) if w not in known]:
             known[w] = np.array(features_of(w), np.int32)
         lists = [known[w] for w in words]
         per_word = np.fromiter(map(len, lists), np.int64, len(lists))
