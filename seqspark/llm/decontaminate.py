@@ -155,9 +155,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, keep_text: bool = False, block_c
     spark = docs.sparkSession
     tune(spark)
     df = docs.select("doc_id", "text").withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<array<int>>"), "items": F.array().cast("array<string>")})
-    all_blocks = list(blocks(benchmark, block_chars)) if block_chars >= BLOCK_CHARS else blocks(benchmark, block_chars)
-    first = True
-    for items in all_blocks:
+    for k, items in enumerate(blocks(benchmark, block_chars)):
         held = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
@@ -168,8 +166,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, keep_text: bool = False, block_c
                 b["items"] = [sorted({*old, *new}) for old, (_, _, new) in zip(b["items"], got)]
                 yield b
 
-        df = (df if first else cut(df, "leaks")).mapInPandas(run, df.schema)
-        first = False
+        df = (cut(df, "leaks") if k else df).mapInPandas(run, df.schema)
     return df if keep_text else df.drop("text")
 
 
@@ -190,6 +187,22 @@ def report(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -> DataF
     return df.select("doc_id", "n_words", covered("spans").alias("n_hit"), n.alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n >= least_items).alias("contaminated"))
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents without any hit, in the columns of documents; narrow passes, one for each block of items."""
+    spark = docs.sparkSession
+    tune(spark)
+    df = docs
+    for k, items in enumerate(blocks(benchmark)):
+        held = spark.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield b[[not found for _, _, found in match_texts(held.value, list(b["text"]))]]
+
+        df = (cut(df, "leaks") if k else df).mapInPandas(run, docs.schema)
+    return df
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

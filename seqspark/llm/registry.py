@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, jaccard_join, quality_rules, sharding, sp_encode, token_files, toxicity, url_filter
+from . import decontaminate, html_extract, jaccard_join, quality_rules, sharding, sp_encode, suffix_dedup, token_files, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_sentencepiece": sp_encode.query,
         "op2_html_extraction": html_extract.query,
+        "op3_suffix_array_dedup": suffix_dedup.query,
         "op4_url_filter": url_filter.query,
         "op5_toxicity": toxicity.query,
         "op6_token_files": token_files.query,
