@@ -7,9 +7,9 @@ n - ceil(0.8 n) + 1 shingles, so these are the windows that boundary sets are re
 Within a region the next pivot is a member, the least by hash: the triangle inequality is used through sizes and
 through parity sketches (the sketches' Hamming distance bounds the symmetric difference from below; a pair over
 (m + n)/9 can't link). Distances to pivots are computed exactly; what links becomes one class; a region whose members are one
-class is finished, as its remaining pairs can add nothing. Otherwise the pivot is taken out and the region is
-joined again (recursion), with more pivots at a time, until it has SMALL members at most: then its pairs of
-different classes that pass the bounds are all compared. Only class membership is returned, so a group of k copies costs
+class is finished, as its remaining pairs can add nothing. Otherwise the region is joined again with more pivots (recursion by
+ROUNDS); what is open after that is cut into blocks, and members outside a region's largest class meet all its blocks: their pairs of
+different classes are compared by the bounds, and exactly where those let them pass. Only class membership is returned, so a group of k copies costs
 about k comparisons, not k squared.
 
 Equal sets are one point from the beginning. Words and shingles are 64-bit hashes; links are decided on whole sets.
@@ -31,14 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, tune
+from .common import cut, shuffle_parts, table, tune
 from .components import components
 
 N = 5
 SKETCH = 1 << 20
 SLICES = 64
-SMALL = 64
-PIVOTS = 8
+#: Pivots of each region, round by round, before its remaining pairs are compared.
+ROUNDS = (1, 12)
+#: Members of a region that a task holds at once.
+BLOCK = 4096
 #: Pairs up to this number may be broadcast (16 bytes each); more are joined by shuffles.
 BROADCAST_PAIRS = 500_000
 
@@ -192,39 +194,93 @@ class Verifier:
         return full.mapInPandas(run, "a long, b long")
 
 
-def classes(docs: DataFrame, base: DataFrame, hot: bytes, small: int = SMALL) -> DataFrame:
+def pivot_pairs(at: DataFrame, pivots: int) -> DataFrame:
+    """Pairs of each region's first members by hash with its other members of other classes, within the bounds."""
+    x, y = at.where(F.col("rank") <= pivots).alias("x"), at.alias("y")
+    pairs = x.join(y, F.col("x.token") == F.col("y.token")).where((F.col("x.rank") < F.col("y.rank")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y"))
+    return pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
+
+
+def close_pairs(probe: pd.DataFrame, build: pd.DataFrame, rows: int = 512) -> pd.DataFrame:
+    """Pairs of a probe and a build member of different classes that pass all bounds; a part of the probes at a time."""
+    words = lambda d: np.frombuffer(b"".join(d["bits"]), np.uint64).reshape(len(d), -1)
+    bn, bp, bc, bs, bw = build["n"].to_numpy(np.int64), build["pos"].to_numpy(np.int64), build["comp"].to_numpy(), build["sid"].to_numpy(), words(build)
+    out = []
+    for lo in range(0, len(probe), rows):
+        x = probe.iloc[lo : lo + rows]
+        n, pos = x["n"].to_numpy(np.int64)[:, None], x["pos"].to_numpy(np.int64)[:, None]
+        ok = (np.minimum(n, bn) * 100 >= np.maximum(n, bn) * 80) & (np.minimum(n - pos, bn - bp) * 9 >= (n + bn) * 4) & (x["comp"].to_numpy()[:, None] != bc)
+        i, j = np.nonzero(ok)
+        xw, xs = words(x), x["sid"].to_numpy()
+        for k in range(0, len(i), 1 << 17):
+            u, v = i[k : k + (1 << 17)], j[k : k + (1 << 17)]
+            near = np.bitwise_count(xw[u] ^ bw[v]).sum(1, dtype=np.int64) * 9 <= n[u, 0] + bn[v]
+            out.append(pd.DataFrame({"a": np.minimum(xs[u], bs[v])[near], "b": np.maximum(xs[u], bs[v])[near], "n": n[u, 0][near].astype(np.int32), "m": bn[v][near].astype(np.int32)}))
+    return pd.concat(out, ignore_index=True).drop_duplicates(["a", "b"]) if out else pd.DataFrame({"a": [], "b": [], "n": [], "m": []})
+
+
+def rest_pairs(at: DataFrame, bits: DataFrame, block: int) -> DataFrame:
+    """All pairs of different classes in each region that pass the bounds.
+
+    A region is cut into blocks of members. Members outside its largest class are replicated to all its blocks; pairs within the largest class need no look.
+    So a task holds one block and, a part at a time, what is compared with it.
+    """
+    spark = at.sparkSession
+    own = at.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    largest = own.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("k")).select("token", F.col("m.comp").alias("giant"), "k")
+    x = at.join(largest, "token").join(bits, "sid").withColumn("blocks", F.ceil(F.col("k") / block).cast("int"))
+    x = x.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    cols = ["token", "sid", "n", "pos", "comp", "bits"]
+    build = x.select(*cols, F.col("own").alias("block"), F.lit(0).alias("probe"))
+    probe = x.where("comp != giant").select(*cols, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("probe"))
+    dealt = build.unionAll(probe).repartition(shuffle_parts(spark), "token", "block").sortWithinPartitions("token", "block", "probe")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+        empty = pd.DataFrame({"a": [], "b": [], "n": [], "m": []})
+        for b in batches:
+            b = b.reset_index(drop=True)
+            t, k = b["token"].to_numpy(), b["block"].to_numpy()
+            ends = [*(np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1])) + 1), len(b)]
+            found, start = [], 0
+            for end in ends:
+                part = b.iloc[start:end]
+                if (t[start], k[start]) != key:
+                    key, held = (t[start], k[start]), []
+                new, ask = part[part["probe"] == 0], part[part["probe"] == 1]
+                if len(new):
+                    held.append(new)
+                if len(ask) and held:
+                    held = [pd.concat(held, ignore_index=True)] if len(held) > 1 else held
+                    found.append(close_pairs(ask, held[0]))
+                start = end
+            yield pd.concat(found, ignore_index=True) if found else empty
+
+    return dealt.mapInPandas(run, "a long, b long, n int, m int")
+
+
+def classes(docs: DataFrame, base: DataFrame, hot: bytes, block: int = BLOCK) -> DataFrame:
     """sid, comp: the classes of sets that have a link (others are not listed)."""
     docs = docs.select("doc_id", "text")
     check = Verifier(docs, base)
     w = Window.partitionBy("token")
     found = regions(docs, hot).withColumn("lo", F.min("sid").over(w)).withColumn("hi", F.max("sid").over(w)).where("lo != hi")
-    members = cut(found.groupBy("token", "sid").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "regions")
-    links, pivots = None, 1
-    while True:
-        ranked = members.withColumn("rank", F.row_number().over(w.orderBy("sid")))
-        if links is None:
-            at = ranked.withColumn("comp", F.col("sid"))
+    at = cut(found.groupBy("token", "sid").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "regions")
+    at = at.withColumn("comp", F.col("sid"))
+    links = None
+    for pivots in (*ROUNDS, None):
+        if pivots:
+            pairs = pivot_pairs(at.withColumn("rank", F.row_number().over(w.orderBy("sid"))), pivots)
         else:
-            comps = cut(components(links), "comps")
-            at = members.join(comps.withColumnRenamed("id", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-            at = at.withColumn("c0", F.min("comp").over(w)).withColumn("c1", F.max("comp").over(w)).where("c0 != c1").drop("c0", "c1")
-            at = cut(at.withColumn("rank", F.row_number().over(w.orderBy("sid"))).withColumn("k", F.count("*").over(w)), "open")
-            rest = at.where(F.col("k") <= small)
-            x, y = rest.alias("x"), rest.alias("y")
-            pairs = x.join(y, F.col("x.token") == F.col("y.token")).where((F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y")).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
-            at = at.where(F.col("k") > small)
-            if at.isEmpty():
-                links = links.unionAll(check.links(pairs))
-                return cut(components(links), "comps")
-            links = cut(links.unionAll(check.links(pairs)), "links")
-        lead = at.where(F.col("rank") <= pivots)
-        x, y = lead.alias("x"), at.alias("y")
-        pairs = x.join(y, F.col("x.token") == F.col("y.token")).where((F.col("x.rank") < F.col("y.rank")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y")).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
+            pairs = rest_pairs(at, base.where("n > 0").groupBy("sid").agg(F.first("bits").alias("bits")), block)
         new = cut(check.links(pairs), "links")
         links = new if links is None else links.unionAll(new)
-        members = at.where(F.col("rank") > pivots).select("token", "sid", "n", "pos")
-        members = cut(members, "regions")
-        pivots = PIVOTS
+        comps = cut(components(links), "comps")
+        if pivots:
+            at = at.drop("comp").join(comps.withColumnRenamed("id", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+            at = at.withColumn("c0", F.min("comp").over(w)).withColumn("c1", F.max("comp").over(w)).where("c0 != c1").drop("c0", "c1")
+            at = cut(at, "open")
+    return comps
 
 
 def join(docs: DataFrame) -> DataFrame:
