@@ -53,11 +53,14 @@ def reverse_complement(residue: Column) -> Column:
 def word_codes(code: Column, w: int = 3) -> Column:
     """Codes of all words of w letters in order, base 24; letters beyond the alphabet count as 0."""
 
-    def one(i):
-        total = F.lit(0).cast("long")
-        for k in range(w):
-            c = F.get(code, i + k)
-            total = total * LETTERS + F.when(c < LETTERS, c).otherwise(0)
-        return total
-
-    return F.transform(F.when(F.size(code) >= w, F.sequence(F.lit(0), F.size(code) - w)).otherwise(F.array().cast("array<int>")), one)
+    def words(c):
+        def one(i):
+            total = F.lit(0).cast("long")
+            for k in range(w):
+                x = F.get(c, i + k)
+                total = total * LETTERS + F.when(x < LETTERS, x).otherwise(0)
+            return total
+
+        return F.transform(F.when(F.size(c) >= w, F.sequence(F.lit(0), F.size(c) - w)).otherwise(F.array().cast("array<int>")), one)
+
+    return F.transform(F.array(code), words)[0]  # so that the codes are made once

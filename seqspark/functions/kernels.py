@@ -216,6 +216,34 @@ def smith_waterman(q: np.ndarray, s: np.ndarray, m: np.ndarray, opening: int = 1
     return best, *at
 
 
+def smith_waterman_many(q: np.ndarray, subjects: list[np.ndarray], m: np.ndarray, opening: int = 11, extend: int = 1) -> list[tuple[int, int, int]]:
+    """smith_waterman of one query with many subjects, side by side in one array."""
+    width = max(map(len, subjects), default=0)
+    if not len(q) or not width:
+        return [(0, 0, 0)] * len(subjects)
+    s = np.full((len(subjects), width), len(m), np.int64)  # behind a subject's end nothing scores
+    for k, x in enumerate(subjects):
+        s[k, : len(x)] = x
+    wide = np.concatenate((m, np.full((len(m), 1), NEG)), axis=1)
+    h, f = np.zeros((len(s), width + 1), np.int64), np.full((len(s), width + 1), NEG, np.int64)
+    k = np.arange(width + 1) * extend
+    best, at = np.zeros(len(s), np.int64), np.zeros((len(s), 2), np.int64)
+    for i, c in enumerate(q):
+        f = np.maximum(f - extend, h - opening - extend)
+        t = np.maximum(0, f)
+        t[:, 1:] = np.maximum(t[:, 1:], h[:, :-1] + wide[c][s])
+        t[:, 0] = 0
+        g = np.maximum.accumulate(t + k, axis=1)
+        h = t
+        h[:, 1:] = np.maximum(h[:, 1:], g[:, :-1] - k[1:] - opening)
+        place = h.argmax(1)
+        top = h[np.arange(len(s)), place]
+        more = top > best
+        best[more] = top[more]
+        at[more] = np.stack((np.full(more.sum(), i + 1), place[more]), 1)
+    return [(int(b), int(x), int(y)) for b, (x, y) in zip(best, at)]
+
+
 def identity(a: str, b: str, shift: int = 0, band: int = 10) -> int:
     """Most equal letters of an alignment within a band around the diagonal."""
     row = [0] * (len(b) + 1)

@@ -22,6 +22,10 @@ HSP = "query_id long, seq_id long, q_start int, q_end int, s_start int, s_end in
 FINAL = "query_id long, seq_id long, q_start int, q_end int, s_start int, s_end int, score int, bits double, evalue double, identities int, positives int, gaps int, gap_opens int, length int, edits string, rule string"
 
 
+#: Cells of a row that are computed side by side.
+CELLS = 50_000
+
+
 @dataclass(frozen=True)
 class Params:
     matrix: np.ndarray = field(default_factory=matrices.load)
@@ -252,12 +256,14 @@ class Engine:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own = [(i, matrices.encode(t)) for i, t in held.value]
             for b in batches:
-                rows = []
-                for si, text in zip(b["seq_id"], b["residues"]):
-                    s = matrices.encode(text)
+                rows, ids, codes = [], list(b["seq_id"]), [matrices.encode(t) for t in b["residues"]]
+                order = sorted(range(len(codes)), key=lambda k: len(codes[k]))
+                while order:
+                    side = max(1, CELLS // max(1, len(codes[order[-1]])))
+                    part, order = order[-side:], order[:-side]
                     for qi, q in own:
-                        score, qe, se = kernels.smith_waterman(q, s, p.matrix, p.opening, p.extend)
-                        rows.append((qi, si, score, qe, se, statistics.evalue(score, len(q), len(s), letters) if len(q) and len(s) else math.inf))
+                        for k, (score, qe, se) in zip(part, kernels.smith_waterman_many(q, [codes[k] for k in part], p.matrix, p.opening, p.extend)):
+                            rows.append((qi, ids[k], score, qe, se, statistics.evalue(score, len(q), len(codes[k]), letters) if len(q) and len(codes[k]) else math.inf))
                 yield pd.DataFrame(rows, columns=["query_id", "seq_id", "score", "q_end", "s_end", "evalue"])
 
         return subjects.select("seq_id", "residues").mapInPandas(run, "query_id long, seq_id long, score int, q_end int, s_end int, evalue double")

@@ -13,9 +13,11 @@ BROADCAST_WORDS = 500_000
 
 def kmers(seqs: DataFrame, w: int, stride: int = 1, prefix: str = "") -> DataFrame:
     """seq_id, word (upper-case text), off: every word of w letters, at multiples of stride."""
+    # words are cut from bytes (residues are ASCII) inside one array, so that no row carries its whole sequence along
+    data = F.upper("residues").cast("binary")
     places = F.when(F.length("residues") >= w, F.sequence(F.lit(0), F.length("residues") - w, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    df = seqs.select(F.col("seq_id"), F.upper("residues").alias("residues"), F.explode(places).alias("off"))
-    return df.select("seq_id", F.substring("residues", F.col("off") + 1, w).alias("word"), "off")
+    found = F.transform(F.array(data), lambda d: F.transform(places, lambda i: F.substring(d, i + 1, w).cast("string")))[0]
+    return seqs.select("seq_id", F.posexplode(found).alias("off", "word")).select("seq_id", "word", (F.col("off") * stride).alias("off"))
 
 
 def code_words(seqs: DataFrame, w: int = 3) -> DataFrame:

@@ -1,11 +1,260 @@
-"""Named queries over the search and collection operators, each with its SQL form where SQL can express it."""
+"""Named queries over the search and collection operators, each with its SQL form where SQL can express it.
+
+Texts of ``documents`` are the subjects and those of ``benchmark`` the queries. Similar-word seeds over prose are too many for
+whole tables (a word of three letters hits every document), so searches here take words of W letters; the protein defaults are
+for protein collections.
+"""
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import alphabet, complexity, matrices, statistics
+from ..operators import collection, redundancy, report, search, words
+
+W, WINDOW, OVERLAP = 8, 40, 3
+LETTERS = alphabet.PROTEIN
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return collection.sequences(spark.read.parquet(f"{d}/documents.parquet"), "doc_id")
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return collection.sequences(spark.read.parquet(f"{d}/benchmark.parquet"), "item_id")
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    return collection.sequences(spark.read.parquet(f"{d}/part.parquet"), "p_partkey", "p_name")
+
+
+def _seeds(spark: SparkSession, d: str) -> DataFrame:
+    q, s = _items(spark, d), _docs(spark, d)
+    return words.seed_join(words.kmers(q, W), words.kmers(s, W), q, W)
+
+
+def alphabet_class(spark, d):
+    return _docs(spark, d).select("seq_id", "length", alphabet.alphabet(F.col("residues")).alias("alphabet"))
+
+
+def decode_roundtrip(spark, d):
+    s = _items(spark, d)
+    return s.select("seq_id", alphabet.decode(alphabet.codes(F.col("residues"))).alias("decoded"))
+
+
+def reverse_complements(spark, d):
+    return _items(spark, d).select("seq_id", alphabet.reverse_complement(F.col("residues")).alias("complement"))
+
+
+def db_stats(spark, d):
+    return collection.statistics(_docs(spark, d))
+
+
+def length_histogram(spark, d):
+    return collection.length_histogram(_docs(spark, d))
+
+
+def systematic_sample(spark, d):
+    return collection.systematic_sample(_docs(spark, d), 100).select("seq_id", "length", "rn")
+
+
+def length_select(spark, d):
+    return collection.select_long(_docs(spark, d), 500, 50).select("seq_id", "length")
+
+
+def sort_by_length(spark, d):
+    return collection.by_length(_docs(spark, d)).select("seq_id", "length", "rank")
+
+
+def composition(spark, d):
+    return collection.composition(_docs(spark, d))
+
+
+def fasta_text(spark, d):
+    from ..sources import fasta
+
+    return fasta.as_text(_docs(spark, d).withColumn("description", F.concat(F.lit("doc "), F.col("seq_id"))))
+
+
+def word_codes(spark, d):
+    return words.code_words(_items(spark, d)).select("seq_id", "off", "word")
+
+
+def postings_stats(spark, d):
+    return words.postings(words.code_words(_docs(spark, d)))
+
+
+def neighbor_words(spark, d):
+    return words.similar_words(spark)
+
+
+def seed_hits(spark, d):
+    return _seeds(spark, d)
+
+
+def seed_diagonals(spark, d):
+    return _seeds(spark, d).groupBy("query_id", "seq_id", "diag").agg(F.count("*").alias("n_seeds"), F.min("q_off").alias("first_off"), F.max("q_off").alias("last_off"))
+
+
+def two_hit_pairs(spark, d):
+    return words.two_hits(_seeds(spark, d), WINDOW, OVERLAP)
+
+
+def one_hit_runs(spark, d):
+    return words.one_hits(_seeds(spark, d), W)
+
+
+def two_hit_top(spark, d):
+    """Per query, the ten subjects with the most triggers."""
+    t = two_hit_pairs(spark, d).groupBy("query_id", "seq_id").agg(F.count("*").alias("n_triggers"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("n_triggers"), "seq_id")
+    return t.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
+
+
+def hsp_purge(spark, d):
+    """Runs of seeds as alignments, purged of common ends."""
+    runs = words.one_hits(_seeds(spark, d), W)
+    hsps = runs.select("query_id", "seq_id", "q_start", "q_end", "s_start", (F.col("s_start") + F.col("q_end") - F.col("q_start")).alias("s_end"), (F.col("q_end") - F.col("q_start")).alias("score"))
+    return report.purge_common_ends(hsps)
+
+
+def bit_scores(spark, d):
+    """Bits of run lengths taken as scores."""
+    g = statistics.DEFAULT
+    s = hsp_purge(spark, d).select("score").distinct()
+    return s.select("score", F.round((F.col("score") * g.lam - g.log_k) / statistics.LN2, 6).alias("bits"))
+
+
+def hsp_evalues(spark, d):
+    letters = int(_docs(spark, d).agg(F.sum("length")).first()[0] or 0)
+    lens = lambda df, i, n: df.select(F.col("seq_id").alias(i), F.col("length").alias(n))
+    h = hsp_purge(spark, d).join(lens(_items(spark, d), "query_id", "q_len"), "query_id").join(lens(_docs(spark, d), "seq_id", "s_len"), "seq_id")
+
+    @F.pandas_udf("double")
+    def e(score: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
+            return pd.Series([statistics.evalue(*x, letters) for x in zip(score, m, n)], dtype="float64")
+
+    return h.select("query_id", "seq_id", "q_start", "s_start", "score", e("score", "q_len", "s_len").alias("evalue"))
+
+
+def query_karlin(spark, d):
+    m = matrices.load()
+
+    @F.pandas_udf("lambda double, k double, h double")
+    def fit(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([statistics.karlin(matrices.encode(t), m) for t in text], columns=["lambda", "k", "h"])
+
+    return _items(spark, d).select("seq_id", fit("residues").alias("x")).select("seq_id", "x.*")
+
+
+def low_complexity(spark, d):
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def find(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: [{"start": s, "end": e} for s, e in complexity.segments(t)])
+
+    return _items(spark, d).select("seq_id", F.explode(find("residues")).alias("x")).select("seq_id", "x.*")
+
+
+def dust_regions(spark, d):
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def find(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: [{"start": s, "end": e} for s, e in complexity.dust(t)])
+
+    return _items(spark, d).select("seq_id", F.explode(find("residues")).alias("x")).select("seq_id", "x.*")
+
+
+def smith_waterman(spark, d):
+    """Items against part names, exhaustively."""
+    return search.Engine(spark).exhaustive(_items(spark, d), _parts(spark, d)).select("query_id", "seq_id", "score", "q_end", "s_end")
+
+
+def spex_words(spark, d):
+    return words.repeated_words(_docs(spark, d), 30).groupBy("n").agg(F.count("*").alias("n_words"))
+
+
+def shared_word_pairs(spark, d):
+    return redundancy.candidate_pairs(_docs(spark, d), 30)
+
+
+def winnow_fingerprints(spark, d):
+    return words.winnowed(_items(spark, d))
+
+
+def nr_representatives(spark, d):
+    return redundancy.representatives(_parts(spark, d), w=12)
+
+
+def search_parts(spark, d):
+    """The whole search with protein defaults: items against part names."""
+    items, parts = _items(spark, d), _parts(spark, d)
+    return search.Engine(spark).search(items, parts).select("query_id", "seq_id", "q_start", "q_end", "s_start", "s_end", "score", "identities", "length", "rank")
+
+
+QUERIES = [alphabet_class, decode_roundtrip, reverse_complements, db_stats, length_histogram, systematic_sample, length_select, sort_by_length, composition, fasta_text, word_codes, postings_stats, neighbor_words, seed_hits, seed_diagonals, two_hit_pairs, one_hit_runs, two_hit_top, hsp_purge, bit_scores, hsp_evalues, query_karlin, low_complexity, dust_regions, smith_waterman, spex_words, shared_word_pairs, winnow_fingerprints, nr_representatives, search_parts]
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in QUERIES}
+
+
+def _clean(col: str) -> str:
+    return f"regexp_replace(coalesce({col}, ''), '[^A-Za-z]', '', 'g')"
+
+
+DOCS = f"docs AS (SELECT doc_id AS seq_id, {_clean('text')} AS residues, length({_clean('text')})::BIGINT AS length FROM documents)"
+ITEMS = f"items AS (SELECT item_id AS seq_id, {_clean('text')} AS residues, length({_clean('text')})::BIGINT AS length FROM benchmark)"
+CODE = f"CASE WHEN instr('{LETTERS}', c) > 0 THEN instr('{LETTERS}', c) - 1 ELSE 23 END"
+
+
+def _coded(table: str) -> str:
+    return f"coded AS (SELECT seq_id, list_transform(list_filter(string_split(upper(residues), ''), lambda c: c != ''), lambda c: {CODE}) AS c FROM {table}), w AS (SELECT seq_id, i - 1 AS off, (c[i] * 24 + c[i + 1]) * 24 + c[i + 2] AS word FROM (SELECT seq_id, c, unnest(range(1, len(c) - 1)) AS i FROM coded))"
+
+
+KMERS = f"""qk AS (SELECT seq_id AS query_id, length AS q_len, i - 1 AS q_off, substr(upper(residues), i, {W}) AS word FROM (SELECT *, unnest(range(1, length - {W - 2})) AS i FROM items)),
+sk AS (SELECT seq_id, i - 1 AS s_off, substr(upper(residues), i, {W}) AS word FROM (SELECT *, unnest(range(1, length - {W - 2})) AS i FROM docs)),
+seeds AS (SELECT query_id, q_off::INT AS q_off, seq_id, s_off::INT AS s_off, (s_off - q_off + q_len - {W - 1})::BIGINT AS diag FROM sk JOIN qk USING (word))"""
+SEEDS = f"WITH {DOCS}, {ITEMS}, {KMERS}"
+HITS = f"""diags AS (SELECT query_id, seq_id, diag, list_sort(list(q_off)) AS p FROM seeds GROUP BY ALL),
+folded AS (SELECT query_id, seq_id, diag, unnest(list_reduce(list_prepend({{'last': -1, 'out': []::STRUCT(q_off INT, distance INT)[]}}, list_transform(p, lambda x: {{'last': x, 'out': []::STRUCT(q_off INT, distance INT)[]}})), lambda a, b:
+  {{'last': CASE WHEN a.last < 0 OR b.last - a.last >= {OVERLAP} THEN b.last ELSE a.last END,
+   'out': CASE WHEN a.last >= 0 AND b.last - a.last >= {OVERLAP} AND b.last - a.last < {WINDOW} THEN list_append(a.out, {{'q_off': b.last::INT, 'distance': (b.last - a.last)::INT}}) ELSE a.out END}}).out) AS h FROM diags),
+hits AS (SELECT query_id, seq_id, diag, h.q_off AS q_off, h.distance AS distance FROM folded)"""
+RUNS = f"""marked AS (SELECT *, CASE WHEN q_off - lag(q_off) OVER d <= {W} THEN 0 ELSE 1 END AS new FROM seeds WINDOW d AS (PARTITION BY query_id, seq_id, diag ORDER BY q_off)),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY query_id, seq_id, diag ORDER BY q_off) AS run FROM marked),
+runs AS (SELECT query_id, seq_id, diag, min(q_off) AS q_start, max(q_off) + {W} AS q_end, min(s_off) AS s_start FROM numbered GROUP BY query_id, seq_id, diag, run)"""
+PURGED = """hsps AS (SELECT query_id, seq_id, q_start, q_end, s_start, s_start + q_end - q_start AS s_end, q_end - q_start AS score FROM runs),
+one AS (SELECT * FROM hsps QUALIFY row_number() OVER (PARTITION BY query_id, seq_id, q_start, s_start ORDER BY score DESC, q_end DESC, s_end DESC) = 1),
+two AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY query_id, seq_id, q_end, s_end ORDER BY score DESC, q_start DESC, s_start DESC) = 1)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    up = "upper(residues)"
+    usual = sorted("LAGSVETKDPIRNQFYMHCW")
+    m = matrices.load()
+    values = ", ".join(f"({a}, {b}, {int(m[a, b])})" for a in range(24) for b in range(24))
+    return {
+        "alphabet_class": f"WITH {DOCS} SELECT seq_id, length, CASE WHEN length > 0 AND length(regexp_replace({up}, '[^{alphabet.BASES}]', '', 'g')) = length AND length(regexp_replace({up}, '[^ACGTN]', '', 'g')) * 10 >= length * 9 THEN 'nucleotide' ELSE 'protein' END AS alphabet FROM docs",
+        "decode_roundtrip": f"WITH {ITEMS} SELECT seq_id, array_to_string(list_transform(list_filter(string_split({up}, ''), lambda c: c != ''), lambda c: CASE WHEN instr('{LETTERS}', c) > 0 THEN c ELSE 'U' END), '') AS decoded FROM items",
+        "reverse_complements": f"WITH {ITEMS} SELECT seq_id, translate(reverse({up}), '{alphabet.BASES}', '{alphabet.COMPLEMENTS}') AS complement FROM items",
+        "db_stats": f"WITH {DOCS} SELECT count(*) AS n_sequences, sum(length)::BIGINT AS n_letters, min(length) AS min_length, max(length) AS max_length, round(avg(length), 6) AS mean_length, median(length) AS median_length FROM docs",
+        "length_histogram": f"WITH {DOCS} SELECT least(length // 100, 20)::INT AS bin, count(*) AS n_sequences FROM docs GROUP BY 1",
+        "systematic_sample": f"WITH {DOCS}, r AS (SELECT seq_id, length, row_number() OVER (ORDER BY seq_id) - 1 AS rn FROM docs) SELECT * FROM r WHERE rn % greatest(1, (SELECT count(*) FROM docs) // 100) = 0",
+        "length_select": f"WITH {DOCS} SELECT seq_id, length FROM docs WHERE length >= 500 ORDER BY seq_id LIMIT 50",
+        "sort_by_length": f"WITH {DOCS} SELECT seq_id, length, row_number() OVER (ORDER BY length, seq_id) - 1 AS rank FROM docs",
+        "composition": f"WITH {DOCS} SELECT seq_id, " + ", ".join(f"(length - length(replace({up}, '{c}', '')))::BIGINT AS n_{c.lower()}" for c in usual) + ", (" + " + ".join(f"length - length(replace({up}, '{c}', ''))" for c in usual) + ")::BIGINT AS n_usual FROM docs",
+        "fasta_text": f"WITH {DOCS} SELECT concat('>doc ', seq_id, chr(10), residues) AS value FROM docs",
+        "word_codes": f"WITH {ITEMS}, {_coded('items')} SELECT seq_id, off::INT AS off, word::BIGINT AS word FROM w",
+        "postings_stats": f"WITH {DOCS}, {_coded('docs')} SELECT word::BIGINT AS word, count(*) AS n_places, count(DISTINCT seq_id) AS n_sequences FROM w GROUP BY 1",
+        "neighbor_words": f"WITH m(a, b, s) AS (VALUES {values}), p AS (SELECT x.a * 576 + y.a * 24 + z.a AS word, x.b * 576 + y.b * 24 + z.b AS nbr, x.s + y.s + z.s AS score FROM m x, m y, m z) SELECT word::BIGINT AS word, nbr::BIGINT AS nbr, score::INT AS score FROM p WHERE score >= 11 OR word = nbr",
+        "seed_hits": f"{SEEDS} SELECT * FROM seeds",
+        "seed_diagonals": f"{SEEDS} SELECT query_id, seq_id, diag, count(*) AS n_seeds, min(q_off) AS first_off, max(q_off) AS last_off FROM seeds GROUP BY ALL",
+        "two_hit_pairs": f"{SEEDS}, {HITS} SELECT * FROM hits",
+        "one_hit_runs": f"{SEEDS}, {RUNS} SELECT * FROM runs",
+        "two_hit_top": f"{SEEDS}, {HITS} SELECT query_id, seq_id, count(*) AS n_triggers, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, seq_id)::INT AS rank FROM hits GROUP BY query_id, seq_id QUALIFY rank <= 10",
+        "hsp_purge": f"{SEEDS}, {RUNS}, {PURGED} SELECT * FROM two",
+        "bit_scores": f"{SEEDS}, {RUNS}, {PURGED} SELECT DISTINCT score, round((score * {statistics.DEFAULT.lam} + {-statistics.DEFAULT.log_k}) / {statistics.LN2}, 6) AS bits FROM two",
+        "spex_words": f"WITH {DOCS}, k AS (SELECT substr({up}, i, 30) AS word FROM (SELECT residues, unnest(range(1, length - 28)) AS i FROM docs)), c AS (SELECT word, count(*) AS n FROM k GROUP BY 1 HAVING count(*) >= 2) SELECT n, count(*) AS n_words FROM c GROUP BY 1",
+        "winnow_fingerprints": f"WITH {ITEMS}, k AS (SELECT seq_id, i - 1 AS off, ('0x' || substr(md5(substr({up}, i, 12)), 1, 15))::BIGINT AS h FROM (SELECT *, unnest(range(1, length - 10)) AS i FROM items)), m AS (SELECT seq_id, count(*) OVER w AS n, min({{'h': h, 'o': -off}}) OVER w AS m FROM k WINDOW w AS (PARTITION BY seq_id ORDER BY off ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)) SELECT DISTINCT seq_id, (-m.o)::INT AS off, m.h AS h FROM m WHERE n = 8",
+    }
