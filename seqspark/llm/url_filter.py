@@ -20,7 +20,9 @@ from .common import table
 
 BUCKETS = 1024
 EPOCHS = 40
-RATE = 6.0
+RATE = 40.0
+#: What the bias is a weight of: small beside the n-grams of a url, whose shares sum up to 1.
+BIAS = 0.02
 DECAY = 1e-4
 #: Weights become integers of 1/SCALE, so sums are exact in any engine and order.
 SCALE = 1_000_000
@@ -54,6 +56,11 @@ LABELLED = [
 ]
 
 
+def examples() -> list[tuple[str, int]]:
+    """The labelled urls, the two labels in turn, so that no run of one label ends the fit."""
+    return sorted(LABELLED, key=lambda x: ([u for u, y in LABELLED if y == x[1]].index(x[0]), x[1]))
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     pattern = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
     return (F.translate(F.coalesce(F.regexp_extract(url, pattern, 1), F.lit("")), UPPER, LOWER), F.coalesce(F.regexp_extract(url, pattern, 2), F.lit("")))
@@ -82,11 +89,11 @@ def gram_buckets(host: Column, path: Column) -> Column:
 
 def train(spark: SparkSession) -> list[int]:
     """BUCKETS + 1 integer weights (the last: bias). One row, one expression: a fold of gradient steps over the labelled urls."""
-    rows = spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(LABELLED)], "i int, url string, y int")
+    rows = spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(examples())], "i int, url string, y int")
     host, path = host_and_path(F.col("url"))
     grams = rows.select("i", "y", gram_buckets(host, path).alias("g"))
     dense = grams.select("i", "y", F.explode("g").alias("b")).groupBy("i", "y", "b").count().groupBy("i", "y").agg(F.map_from_entries(F.collect_list(F.struct("b", "count"))).alias("m"), F.sum("count").alias("n"))
-    x = F.concat(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.element_at("m", b), F.lit(0)) / F.col("n")), F.array(F.lit(1.0)))
+    x = F.concat(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.element_at("m", b), F.lit(0)) / F.col("n")), F.array(F.lit(BIAS)))
     one = dense.select("i", F.struct("i", x.alias("x"), F.col("y").cast("double").alias("y")).alias("e")).groupBy().agg(F.array_sort(F.collect_list("e")).alias("examples"))
 
     def step(w: Column, e: Column) -> Column:
@@ -95,32 +102,32 @@ def train(spark: SparkSession) -> list[int]:
         return F.transform(F.array(g), lambda k: F.zip_with(w, e["x"], lambda a, b: a * (1 - DECAY) + k * b))[0]
 
     w = F.aggregate(F.flatten(F.array_repeat(F.col("examples"), EPOCHS)), F.array_repeat(F.lit(0.0), BUCKETS + 1), step)
-    return [int(v) for v in one.select(F.transform(w, lambda v: F.round(v * SCALE).cast("long")).alias("w")).first()["w"]]
+    return [int(v) for v in one.select(F.transform(w, lambda v, i: F.round(v * SCALE * F.when(i == BUCKETS, BIAS).otherwise(1.0)).cast("long")).alias("w")).first()["w"]]
 
 
 def train_plainly() -> list[int]:
     """The same fit in plain Python: for the tests and for the SQL form, which holds its weights as constants."""
-    examples = []
-    for url, y in LABELLED:
+    rows = []
+    for url, y in examples():
         rest = url.split("://", 1)[1]
         end = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
         host, path = rest[:end].lower(), rest[end:].split("?")[0].split("#")[0]
         c = [ord(ch) for ch in f"^{host}${path.lower()}$"]
         g = [(c[i] * 961 + c[i + 1] * 31 + c[i + 2]) % BUCKETS for i in range(len(c) - 2)]
         g += [(c[i] * 29798 + c[i + 1] * 968 + c[i + 2] * 38 + c[i + 3] * 8) % BUCKETS for i in range(len(c) - 3)]
-        x = [0.0] * BUCKETS + [1.0]
+        x = [0.0] * BUCKETS + [BIAS]
         for b in set(g):
             x[b] = g.count(b) / len(g)
-        examples.append((x, y))
+        rows.append((x, y))
     w = [0.0] * (BUCKETS + 1)
     for _ in range(EPOCHS):
-        for x, y in examples:
+        for x, y in rows:
             z = 0.0
             for a, b in zip(w, x):
                 z += a * b
             g = RATE * (y - 1 / (1 + math.exp(-z)))
             w = [a * (1 - DECAY) + g * b for a, b in zip(w, x)]
-    return [math.floor(abs(v) * SCALE + 0.5) * (1 if v >= 0 else -1) for v in w]
+    return [math.floor(abs(v) + 0.5) * (1 if v >= 0 else -1) for v in (v * SCALE * (BIAS if i == BUCKETS else 1.0) for i, v in enumerate(w))]
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
