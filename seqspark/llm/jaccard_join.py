@@ -39,8 +39,8 @@ SKETCH = 1 << 20
 SLICES = 64
 #: Pivots of each region, round by round, before its remaining pairs are compared.
 ROUNDS = (1, 12)
-#: Members of a region that a task holds at once.
-BLOCK = 4096
+#: Regions up to this size are compared by a join; larger ones in blocks of so many members that a task holds at once.
+SMALL, BLOCK = 48, 4096
 #: Pairs up to this number may be broadcast (16 bytes each); more are joined by shuffles.
 BROADCAST_PAIRS = 500_000
 
@@ -219,6 +219,13 @@ def close_pairs(probe: pd.DataFrame, build: pd.DataFrame, rows: int = 512) -> pd
     return pd.concat(out, ignore_index=True).drop_duplicates(["a", "b"]) if out else pd.DataFrame({"a": [], "b": [], "n": [], "m": []})
 
 
+def small_pairs(at: DataFrame) -> DataFrame:
+    """Pairs of different classes within the bounds, of regions with SMALL members at most."""
+    x, y = at.alias("x"), at.alias("y")
+    pairs = x.join(y, F.col("x.token") == F.col("y.token")).where((F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y"))
+    return pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
+
+
 def rest_pairs(at: DataFrame, bits: DataFrame, block: int) -> DataFrame:
     """All pairs of different classes in each region that pass the bounds.
 
@@ -272,7 +279,9 @@ def classes(docs: DataFrame, base: DataFrame, hot: bytes, block: int = BLOCK) ->
         if pivots:
             pairs = pivot_pairs(at.withColumn("rank", F.row_number().over(w.orderBy("sid"))), pivots)
         else:
-            pairs = rest_pairs(at, base.where("n > 0").groupBy("sid").agg(F.first("bits").alias("bits")), block)
+            sized = at.withColumn("k", F.count("*").over(w))
+            bits = base.where("n > 0").groupBy("sid").agg(F.first("bits").alias("bits"))
+            pairs = small_pairs(sized.where(F.col("k") <= SMALL)).unionAll(rest_pairs(sized.where(F.col("k") > SMALL).drop("k"), bits, block))
         new = cut(check.links(pairs), "links")
         links = new if links is None else links.unionAll(new)
         comps = cut(components(links), "comps")
