@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import cut, new_path, shared_dir  # noqa: F401
+
 #: Rows handed to a Python worker at once; bounds a worker's memory for long texts.
 ARROW_ROWS = 256
 
@@ -25,33 +23,6 @@ def tune(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (local tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = getattr(shared_dir, "own", None)
-    if own is None:
-        holder = tempfile.TemporaryDirectory(prefix="seqspark-")
-        atexit.register(holder.cleanup)
-        own = shared_dir.own = f"file://{holder.name}"
-    return own
-
-
-def new_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/seqspark-{kind}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends there, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, kind)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_cut(df_or_path, spark: SparkSession) -> None:
     """Deletes a written table that no plan needs any more."""
     jvm = spark.sparkContext._jvm

@@ -9,23 +9,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..storage import cut
 from . import words
 
-#: Word lists longer than this are paired with their longest sequence only.
+#: Word lists up to this number of places are paired within one row, longer ones by a join.
 LONG_LIST = 64
 
 
 def candidate_pairs(seqs: DataFrame, w: int = 30, long_list: int = LONG_LIST) -> DataFrame:
-    """seq1, seq2, shift, n: sequences that share words of w letters, longer first, with the commonest difference of places.
+    """seq1, seq2, shift, n: all sequences that share words of w letters, longer first (least id among equals), with the commonest difference of places.
 
-    A word is tied to the longest sequence that holds it (least id among equals), so a list of k sequences gives k - 1 pairs; lists up to long_list
-    members are tied to each of their members once by words that other members lead.
+    n is the number of equal words at that difference (the greatest of equally common ones). Short lists of places that are alike but for a
+    common move (the words of one shared passage) are paired once and weighted by their number.
     """
-    k = words.kmers(seqs, w).join(seqs.select("seq_id", "length"), "seq_id")
-    lead = k.groupBy("word").agg(F.max(F.struct("length", (-F.col("seq_id")).alias("neg"), (-F.col("off")).alias("noff"))).alias("m"), F.count("*").alias("n")).where("n > 1")
-    pairs = k.join(lead, "word").select((-F.col("m.neg")).alias("seq1"), F.col("seq_id").alias("seq2"), (F.col("off") + F.col("m.noff")).alias("shift")).where("seq1 != seq2")
-    counted = pairs.groupBy("seq1", "seq2", "shift").agg(F.count("*").alias("n"))
-    return counted.groupBy("seq1", "seq2").agg(F.max(F.struct("n", "shift")).alias("b")).select("seq1", "seq2", "b.shift", "b.n")
+    k = words.kmers(seqs, w)
+    shared = cut(k.join(k.groupBy("word").agg(F.count("*").alias("k"), F.min("seq_id").alias("lo"), F.max("seq_id").alias("hi")).where("lo < hi").select("word", "k"), "word"), "words")
+    lists = shared.where(F.col("k") <= long_list).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("seq_id", "off"))).alias("p"))  # at most long_list places
+    alike = lists.select(F.transform("p", lambda x: F.struct(x["seq_id"].alias("seq_id"), (x["off"] - F.col("p")[0]["off"]).alias("off"))).alias("p")).groupBy("p").agg(F.count("*").alias("n"))
+    short = alike.select("p", "n", F.explode("p").alias("a")).select("a", "n", F.explode(F.filter("p", lambda x: x["seq_id"] > F.col("a.seq_id"))).alias("b"))
+    short = short.select(F.col("a.seq_id").alias("a"), F.col("b.seq_id").alias("b"), (F.col("b.off") - F.col("a.off")).alias("d"), "n")
+    place = shared.where(F.col("k") > long_list)
+    left, right = place.select("word", F.col("seq_id").alias("a"), F.col("off").alias("x")), place.select("word", F.col("seq_id").alias("b"), F.col("off").alias("y"))
+    long = left.join(right, "word").where("a < b").select("a", "b", (F.col("y") - F.col("x")).alias("d"), F.lit(1).cast("long").alias("n"))
+    counted = short.unionAll(long).groupBy("a", "b", "d").agg(F.sum("n").alias("n"))
+    size = seqs.select("seq_id", "length")
+    sized = counted.join(size.select(F.col("seq_id").alias("a"), F.col("length").alias("la")), "a").join(size.select(F.col("seq_id").alias("b"), F.col("length").alias("lb")), "b")
+    turn = F.col("lb") > F.col("la")
+    ordered = sized.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("seq1"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("seq2"), F.when(turn, -F.col("d")).otherwise(F.col("d")).alias("shift"), "n")
+    return ordered.groupBy("seq1", "seq2").agg(F.max(F.struct("n", "shift")).alias("b")).select("seq1", "seq2", "b.shift", "b.n")
 
 
 def representatives(seqs: DataFrame, identity: float = 0.9, w: int = 30) -> DataFrame:

@@ -79,3 +79,37 @@ def test_representatives(spark):
     b = a[:60] + "W" + a[61:110]
     r = redundancy.representatives(seqs(spark, [(1, "", a), (2, "", b), (3, "", a[::-1])])).collect()
     assert {x["seq_id"]: x["cluster_id"] for x in r} == {1: 1, 2: 1, 3: 3}
+
+
+def brute_pairs(rows, w):
+    order = sorted(rows, key=lambda r: (-len(r[2]), r[0]))
+    out = {}
+    for k, a in enumerate(order):
+        for b in order[k + 1 :]:
+            places = {}
+            for i in range(len(a[2]) - w + 1):
+                places.setdefault(a[2][i : i + w].upper(), []).append(i)
+            count = {}
+            for j in range(len(b[2]) - w + 1):
+                for i in places.get(b[2][j : j + w].upper(), []):
+                    count[j - i] = count.get(j - i, 0) + 1
+            if count:
+                n, shift = max((n, s) for s, n in count.items())
+                out[a[0], b[0]] = (shift, n)
+    return out
+
+
+def mixed(letters=random.Random(3)):
+    return lambda n: "".join(letters.choice(USUAL) for _ in range(n))
+
+
+def test_candidate_pairs_are_whole(spark):
+    some = mixed(random.Random(3))
+    p, q = some(60), some(60)
+    rows = [(1, "", some(80) + p + some(70)), (2, "", some(90) + q + some(75)), (3, "", p + "W" + q), (4, "", p + "Y" + q), (5, "", some(40)), (6, "", "AC" * 40), (7, "", "CA" * 30), (8, "", q[5:50].lower())]
+    rows += [(20 + i, "", some(i) + p[10:45] + some(12)) for i in range(9)]
+    want = brute_pairs(rows, 30)
+    assert (3, 4) in want
+    for most in (64, 4, 1):
+        got = redundancy.candidate_pairs(seqs(spark, rows), 30, most).collect()
+        assert {(r["seq1"], r["seq2"]): (r["shift"], r["n"]) for r in got} == want and len(got) == len(want)
