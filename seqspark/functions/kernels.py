@@ -254,3 +254,46 @@ def identity(a: str, b: str, shift: int = 0, band: int = 10) -> int:
             row[j] = max(diag + (c == b[j - 1]), up, row[j - 1])
             diag = up
     return max(row)
+
+
+#: Letters of a row of pairs that are compared side by side.
+SIDE = 2_000_000
+
+
+def identities(a: list[bytes], b: list[bytes], shifts: list[int], least: float = 0.0, band: int = 10) -> list[int]:
+    """identity of many pairs side by side; 0 for those that don't reach the share least of a's letters."""
+    out = [0] * len(a)
+    order = []
+    for k, (x, y, s) in enumerate(zip(a, b, shifts)):
+        if s >= 0 and y[s : s + len(x)] == x:
+            out[k] = len(x)
+        else:
+            order.append(k)
+    order.sort(key=lambda k: len(a[k]))
+    while order:
+        side = max(1, SIDE // (len(a[order[-1]]) + 2 * band + 1))
+        ks, order = np.array(order[-side:]), order[:-side]
+        n = len(a[ks[-1]])
+        size = np.array([len(a[k]) for k in ks])
+        rows, cols = np.zeros((len(ks), n), np.uint8), np.ones((len(ks), n + 2 * band + 1), np.uint8)
+        for p, k in enumerate(ks):
+            rows[p, : len(a[k])] = np.frombuffer(a[k], np.uint8)
+            start = int(shifts[k]) - band
+            part = np.frombuffer(b[k], np.uint8)[max(0, start) : max(0, start + cols.shape[1])]
+            cols[p, max(0, -start) : max(0, -start) + len(part)] = part
+        rows, cols = np.ascontiguousarray(rows.T), np.ascontiguousarray(cols.T)
+        best = np.zeros((2 * band + 1, len(ks)), np.int32)
+        for i in range(n):
+            got = best + (cols[i : i + 2 * band + 1] == rows[i])
+            np.maximum(got[:-1], best[1:], out=got[:-1])
+            best = np.maximum.accumulate(got, axis=0)
+            if i % 64 == 63:
+                can = (best[-1] + np.maximum(size - i - 1, 0)) / size >= least
+                if can.sum() < 0.8 * len(ks):
+                    ks, size, best = ks[can], size[can], best[:, can]
+                    rows, cols = np.ascontiguousarray(rows[:, can]), np.ascontiguousarray(cols[:, can])
+                    if not len(ks):
+                        break
+        for k, n_same in zip(ks, best[-1]):
+            out[k] = int(n_same) if n_same / max(1, len(a[k])) >= least else 0
+    return out

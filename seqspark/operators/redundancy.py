@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -39,19 +40,52 @@ def candidate_pairs(seqs: DataFrame, w: int = 30, long_list: int = LONG_LIST) ->
     return ordered.groupBy("seq1", "seq2").agg(F.max(F.struct("n", "shift")).alias("b")).select("seq1", "seq2", "b.shift", "b.n")
 
 
-def representatives(seqs: DataFrame, identity: float = 0.9, w: int = 30) -> DataFrame:
-    """seq_id, cluster_id, identity: each sequence joins the longest one it is identical enough with, which represents itself."""
-    pairs = candidate_pairs(seqs, w)
+def close_pairs(seqs: DataFrame, identity: float = 0.9, w: int = 30, band: int = 10) -> DataFrame:
+    """seq1, seq2, identity: candidate pairs with so many equal letters of the shorter one (seq2) around their commonest diagonal."""
+    size = seqs.select("seq_id", "length")
+    pairs = candidate_pairs(seqs, w).join(size.select(F.col("seq_id").alias("seq1"), F.col("length").alias("l1")), "seq1").join(size.select(F.col("seq_id").alias("seq2"), F.col("length").alias("l2")), "seq2")
+    # letters of seq2 that have any letter of seq1 in their band bound the identity
+    reach = F.least("l2", F.col("l1") + F.col("shift") + band) - F.greatest(F.lit(1), F.col("shift") - band + 1) + 1
+    pairs = pairs.where(reach / F.col("l2") >= identity).select("seq1", "seq2", "shift")
     full = pairs.join(seqs.select(F.col("seq_id").alias("seq1"), F.upper("residues").alias("a")), "seq1").join(seqs.select(F.col("seq_id").alias("seq2"), F.upper("residues").alias("b")), "seq2")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            x["identity"] = [kernels.identity(b, a, shift=-s) / max(1, len(b)) for a, b, s in zip(x["a"], x["b"], x["shift"])]
+            a, b = ([t.encode() for t in x[c]] for c in ("a", "b"))
+            same = kernels.identities(b, a, [-s for s in x["shift"]], identity, band)
+            x["identity"] = [n / max(1, len(t)) for n, t in zip(same, b)]
             yield x[["seq1", "seq2", "identity"]]
 
-    close = full.mapInPandas(run, "seq1 long, seq2 long, identity double").where(F.col("identity") >= identity)
-    # a sequence that itself joins another can't represent: the pairs of such leaders are left out
-    led = close.join(close.select(F.col("seq2").alias("seq1")).distinct(), "seq1", "left_anti")
-    best = led.groupBy("seq2").agg(F.max(F.struct("identity", (-F.col("seq1")).alias("neg"))).alias("m"))
-    joined = seqs.select("seq_id").join(best.select(F.col("seq2").alias("seq_id"), (-F.col("m.neg")).alias("cluster_id"), F.col("m.identity").alias("identity")), "seq_id", "left")
-    return joined.select("seq_id", F.coalesce("cluster_id", "seq_id").alias("cluster_id"), F.coalesce("identity", F.lit(1.0)).alias("identity"))
+    return full.mapInPandas(run, "seq1 long, seq2 long, identity double").where(F.col("identity") >= identity)
+
+
+def followers(close: DataFrame) -> DataFrame:
+    """seq_id of the sequences that don't represent themselves, of a written table of close pairs, longer first.
+
+    Rounds: whoever leads a pair and is in no pair as the second represents itself, its partners don't, and all pairs of those go. Each round
+    settles at least the first sequence in order, so the rounds end; their number is the longest chain of leaders that wait for each other.
+    """
+    out, open_ = [], close.select("seq1", "seq2")
+    while not open_.isEmpty():
+        first = open_.select("seq1").distinct().join(open_.select(F.col("seq2").alias("seq1")).distinct(), "seq1", "left_anti")
+        gone = cut(open_.join(first, "seq1").select(F.col("seq2").alias("seq_id")).distinct(), "followers")
+        open_ = cut(open_.join(gone.withColumnRenamed("seq_id", "seq1"), "seq1", "left_anti").join(gone.withColumnRenamed("seq_id", "seq2"), "seq2", "left_anti").select("seq1", "seq2"), "open")
+        out.append(gone)
+    spark = close.sparkSession
+    return reduce(DataFrame.unionAll, out) if out else spark.createDataFrame([], "seq_id long")
+
+
+def representatives(seqs: DataFrame, identity: float = 0.9, w: int = 30) -> DataFrame:
+    """seq_id, cluster_id, identity: each sequence, longest first (least id among equals), joins the first representative it is identical enough with,
+    or represents itself.
+
+    Exact copies of w letters or more have the same pairs, so the copy with the least id stands for them.
+    """
+    key = F.when(F.col("length") >= w, F.sha2(F.upper("residues"), 256)).otherwise(F.col("seq_id").cast("string"))
+    copies = cut(seqs.select("seq_id", "length", key.alias("key")).withColumn("first", F.min("seq_id").over(Window.partitionBy("key"))).select("seq_id", "length", "first"), "copies")
+    single = seqs.join(copies.where("seq_id = first").select("seq_id"), "seq_id")
+    close = cut(close_pairs(single, identity, w), "close")
+    led = close.join(followers(close).withColumnRenamed("seq_id", "seq1"), "seq1", "left_anti").join(copies.select(F.col("seq_id").alias("seq1"), "length"), "seq1")
+    best = led.groupBy("seq2").agg(F.max(F.struct("length", (-F.col("seq1")).alias("neg"), "identity")).alias("m"))
+    joined = copies.join(best.select(F.col("seq2").alias("first"), (-F.col("m.neg")).alias("cluster_id"), F.col("m.identity").alias("identity")), "first", "left")
+    return joined.select("seq_id", F.coalesce("cluster_id", "first").alias("cluster_id"), F.coalesce("identity", F.lit(1.0)).alias("identity"))

@@ -113,3 +113,67 @@ def test_candidate_pairs_are_whole(spark):
     for most in (64, 4, 1):
         got = redundancy.candidate_pairs(seqs(spark, rows), 30, most).collect()
         assert {(r["seq1"], r["seq2"]): (r["shift"], r["n"]) for r in got} == want and len(got) == len(want)
+
+
+def greedy(rows, identity, w):
+    """Longest first; each joins the first representative it is identical enough with."""
+    from seqspark.functions import kernels
+
+    text, pairs, out, first = {r[0]: r[2].upper() for r in rows}, brute_pairs(rows, w), {}, []
+    for i in sorted(text, key=lambda i: (-len(text[i]), i)):
+        same = lambda r: kernels.identity(text[i], text[r], -pairs[r, i][0]) / len(text[i])
+        out[i] = next(((r, same(r)) for r in first if (r, i) in pairs and same(r) >= identity), None)
+        if out[i] is None:
+            out[i] = (i, 1.0)
+            first.append(i)
+    return out
+
+
+def chains(rnd):
+    """Chains whose members are close to the next one only."""
+    some = mixed(rnd)
+    rows = []
+    for c, n in enumerate((4, 5, 7)):
+        t = some(420)
+        for k in range(n):
+            rows.append((100 * c + 10 + k, "", t))
+            at = 35 * k + 3  # 7 % other letters in a place of its own, and two letters less
+            t = (t[:at] + some(29) + t[at + 29 :])[:-2]
+    return rows
+
+
+def test_representatives_of_chains(spark):
+    rows = chains(random.Random(8))
+    want = greedy(rows, 0.9, 30)
+    assert want[12][0] == 12 and want[13][0] == 12 and want[11][0] == 10
+    got = {r["seq_id"]: (r["cluster_id"], r["identity"]) for r in redundancy.representatives(seqs(spark, rows)).collect()}
+    assert got == want
+
+
+def test_identities(spark):
+    from seqspark.functions import kernels
+
+    rnd = random.Random(2)
+    some = mixed(rnd)
+    a, b, shifts = [], [], []
+    for _ in range(60):
+        t = some(rnd.randint(1, 300))
+        x = list(t[rnd.randint(0, 20) :] or t)
+        for _ in range(rnd.randint(0, 1 + len(x) // 4)):
+            k = rnd.randint(0, len(x))
+            x[k : k + 1] = rnd.choice(["", "A", "WY"])
+        a.append("".join(x))
+        b.append(t)
+        shifts.append(rnd.randint(-30, 30))
+
+    def banded(x, y, s):
+        best = {}
+        for i in range(1, len(x) + 1):
+            for j in range(max(1, i + s - 10), min(len(y), i + s + 10) + 1):
+                best[i, j] = max(best.get((i - 1, j - 1), 0) + (x[i - 1] == y[j - 1]), best.get((i - 1, j), 0), best.get((i, j - 1), 0))
+        return max(best.values(), default=0)
+
+    want = [banded(x, y, s) for x, y, s in zip(a, b, shifts)]
+    data = [x.encode() for x in a], [y.encode() for y in b]
+    assert kernels.identities(*data, shifts) == want
+    assert kernels.identities(*data, shifts, 0.8) == [n if n / max(1, len(x)) >= 0.8 else 0 for n, x in zip(want, a)]
