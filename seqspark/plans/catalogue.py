@@ -183,7 +183,7 @@ def winnow_fingerprints(spark, d):
 
 
 def nr_representatives(spark, d):
-    return redundancy.representatives(_parts(spark, d), w=12)
+    return redundancy.representatives(_docs(spark, d))
 
 
 def search_parts(spark, d):

@@ -177,3 +177,18 @@ def test_identities(spark):
     data = [x.encode() for x in a], [y.encode() for y in b]
     assert kernels.identities(*data, shifts) == want
     assert kernels.identities(*data, shifts, 0.8) == [n if n / max(1, len(x)) >= 0.8 else 0 for n, x in zip(want, a)]
+
+
+def test_nr_representatives_query_over_documents(spark, tmp_path):
+    from seqspark.plans import catalogue
+
+    some = mixed(random.Random(6))
+    t = some(200)
+    texts = [t, some(150), t, t[:90] + "w" + t[91:], t.lower(), t[:80], some(20), "", None, t[:60] + some(140)]
+    texts += [texts[6], texts[1], f"{t[:100]} 12, {t[100:]}"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(i, "", "".join(c for c in x or "" if c.isalpha())) for i, x in enumerate(texts)]
+    want = greedy(rows, 0.9, 30)
+    assert [want[i][0] for i in (2, 3, 4, 5, 11, 12)] == [0, 0, 0, 0, 1, 0]
+    got = {r["seq_id"]: (r["cluster_id"], r["identity"]) for r in catalogue.queries()["nr_representatives"](spark, str(tmp_path)).collect()}
+    assert got == want
