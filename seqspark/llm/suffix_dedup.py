@@ -2,7 +2,7 @@
 
 Finding places worth sorting. Every LENGTH-byte string has an anchor: the place of its (rightmost) least KGRAM hash, which
 depends on its bytes alone. The strings with one anchor whose start lies in one of three distance classes from it
-all contain the same stretch around the anchor, the core (LENGTH - WIDTH + 1 bytes). Only strings whose cores
+all contain the same stretch around the anchor, the core (LENGTH - WIDTH + 1 bytes; KGRAM and WIDTH follow from the length). Only strings whose cores
 are equal can be equal. So each document gives one record for each anchor and class: core hash, hash of the whole
 slice that its strings cover, place. A core seen once ends there; equal slices repeat as a whole; there remain cores with
 different slices, which are partly repeated or not at all.
@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, shuffle_parts, table, tune
 
-LENGTH, KGRAM, WIDTH = 400, 32, 128
+#: Bytes of a string that counts as a repeat unless the caller names another length.
+LENGTH = 400
 LARGE = 256
 #: Strings of a very long document are handled so many at a time.
 BLOCK = 1 << 21
@@ -88,22 +89,28 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[:n], left[w - 1 : w - 1 + n])
 
 
-def slices(data: bytes) -> tuple[np.ndarray, ...]:
+def derived(length: int) -> tuple[int, int]:
+    """(KGRAM, WIDTH) for strings of that length."""
+    return max(1, min(32, length // 4)), max(1, length * 8 // 25)
+
+
+def slices(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """(core hash, slice hash, first string, number of strings, distance of the first string from its core) of one document's slices."""
+    kgram, width = derived(length)
     out = []
-    for at in range(0, max(0, len(data) - LENGTH + 1), BLOCK):
-        part = np.frombuffer(data, np.uint8)[at : at + BLOCK + LENGTH - 1]
+    for at in range(0, max(0, len(data) - length + 1), BLOCK):
+        part = np.frombuffer(data, np.uint8)[at : at + BLOCK + length - 1]
         h = Hashes(part)
-        n = len(part) - LENGTH + 1
-        g = np.arange(len(part) - KGRAM + 1)
-        key = (_mixed((h.sums[KGRAM:] - h.sums[: len(g)]) * h.down[: len(g)]) & np.uint64(0xFFFFFFFFFF000000)) | (np.uint64(0xFFFFFF) - g.astype(np.uint64))
-        anchor = (np.uint64(0xFFFFFF) - (sliding_least(key, LENGTH - KGRAM + 1) & np.uint64(0xFFFFFF))).astype(np.int64)
-        kind = (anchor - np.arange(n)) // WIDTH
+        n = len(part) - length + 1
+        g = np.arange(len(part) - kgram + 1)
+        key = (_mixed((h.sums[kgram:] - h.sums[: len(g)]) * h.down[: len(g)]) & np.uint64(0xFFFFFFFFFF000000)) | (np.uint64(0xFFFFFF) - g.astype(np.uint64))
+        anchor = (np.uint64(0xFFFFFF) - (sliding_least(key, length - kgram + 1) & np.uint64(0xFFFFFF))).astype(np.int64)
+        kind = (anchor - np.arange(n)) // width
         first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (kind[1:] != kind[:-1]))))
         count = np.diff(np.concatenate((first, [n])))
-        core = anchor[first] - WIDTH * kind[first]
-        core_hash = _mixed(h.of(core, core + LENGTH - WIDTH + 1) + kind[first].astype(np.uint64))
-        whole = _mixed(h.of(first, first + count + LENGTH - 1) + (core - first).astype(np.uint64) * MIX)
+        core = anchor[first] - width * kind[first]
+        core_hash = _mixed(h.of(core, core + length - width + 1) + kind[first].astype(np.uint64))
+        whole = _mixed(h.of(first, first + count + length - 1) + (core - first).astype(np.uint64) * MIX)
         out.append((core_hash.view(np.int64), whole.view(np.int64), first + at, count, core - first))
     if not out:
         return tuple(np.empty(0, np.int64) for _ in range(5))
@@ -178,7 +185,7 @@ def agreement(a: bytes, b: bytes) -> int:
     return int((x != y).argmax())
 
 
-def promising(left: list[bytes], right: list[bytes]) -> list[int]:
+def promising(left: list[bytes], right: list[bytes], width: int) -> list[int]:
     """Slices that may share a string with another: their best agreements left and right of the core sum up to it."""
     best = np.zeros(len(left), np.int64)
     for side in ([x[::-1] for x in left], right):
@@ -188,25 +195,25 @@ def promising(left: list[bytes], right: list[bytes]) -> list[int]:
         for k, a in enumerate(order):
             most[a] = max(near[k - 1] if k else 0, near[k] if k < len(near) else 0)
         best += most
-    return np.flatnonzero(best >= WIDTH - 1).tolist()
+    return np.flatnonzero(best >= width - 1).tolist()
 
 
-def repeats(left: list[bytes], right: list[bytes]) -> list[tuple[int, int, int]]:
+def repeats(left: list[bytes], right: list[bytes], width: int) -> list[tuple[int, int, int]]:
     """(slice, from, to): runs of strings that also are in another slice of the same core."""
-    keep = promising(left, right)
+    keep = promising(left, right, width)
     if len(keep) < 2:
         return []
     s: list[int] = []
     owner, offset = [], []
     for k in keep:
-        n = len(left[k]) + len(right[k]) + 1 - WIDTH + 1
-        owner += [k] * n + [-1] * (WIDTH)
-        offset += [*range(n), *[0] * WIDTH]
+        n = len(left[k]) + len(right[k]) + 1 - width + 1
+        owner += [k] * n + [-1] * (width)
+        offset += [*range(n), *[0] * width]
         s += [c + 1 for c in left[k]] + [CORE] + [c + 1 for c in right[k]] + [STOP]
     owner, offset, text = np.array(owner), np.array(offset), np.array(s)
     sa = np.array(suffix_array(s))
     sa = sa[owner[sa] >= 0]
-    rows = text[sa[:, None] + np.arange(WIDTH)]
+    rows = text[sa[:, None] + np.arange(width)]
     same = (rows[1:] == rows[:-1]).all(axis=1)
     hit = np.zeros(len(text), bool)
     hit[sa[1:][same]] = hit[sa[:-1][same]] = True
@@ -218,34 +225,35 @@ def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def records(docs: DataFrame) -> DataFrame:
+def records(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per slice: core, slice, th (hash of the text), at (first string), n (strings), lead (from there to the core)."""
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lo in range(0, len(b), 64):
-                got = [(h, *slices(utf8(t))) for h, t in zip(b["th"][lo : lo + 64], b["text"][lo : lo + 64])]
+                got = [(h, *slices(utf8(t), length)) for h, t in zip(b["th"][lo : lo + 64], b["text"][lo : lo + 64])]
                 cols = [np.concatenate(x) for x in list(zip(*got))[1:]]
                 th = np.repeat(np.array([h for h, *_ in got], np.int64), [len(x[1]) for x in got])
                 yield pd.DataFrame({"core": cols[0], "slice": cols[1], "th": th, "at": cols[2], "n": cols[3].astype(np.int16), "lead": cols[4].astype(np.int16)})
 
-    return docs.select(F.xxhash64("text").alias("th"), "text").where(F.octet_length("text") >= LENGTH).mapInPandas(run, "core long, slice long, th long, at long, n short, lead short")
+    return docs.select(F.xxhash64("text").alias("th"), "text").where(F.octet_length("text") >= length).mapInPandas(run, "core long, slice long, th long, at long, n short, lead short")
 
 
-def stretches(docs: DataFrame) -> DataFrame:
+def stretches(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """th, from_, to_: byte stretches to remove from the texts with that hash (not merged)."""
     spark = docs.sparkSession
-    found = cut(records(docs), "slices")
+    width = derived(length)[1]
+    found = cut(records(docs, length), "slices")
     cores = found.groupBy("core").agg(F.count("*").alias("k"), F.min("slice").alias("s0"), F.max("slice").alias("s1")).where("k > 1").select("core", (F.col("s0") == F.col("s1")).alias("alike"))
     shared = cut(found.join(cores, "core"), "shared")
     mixed = shared.where(~F.col("alike"))
     kinds = cut(mixed.groupBy("core", "slice").agg(F.count("*").alias("k"), F.min(F.struct("th", "at", "n", "lead")).alias("rep")), "kinds")
     whole = shared.where("alike").select("th", "at", "n").unionAll(mixed.join(kinds.where("k > 1").select("core", "slice"), ["core", "slice"]).select("th", "at", "n"))
-    whole = whole.select("th", F.col("at").alias("from_"), (F.col("at") + F.col("n") + LENGTH - 1).alias("to_"))
+    whole = whole.select("th", F.col("at").alias("from_"), (F.col("at") + F.col("n") + length - 1).alias("to_"))
     sizes = kinds.groupBy("core").agg(F.count("*").alias("kinds"))
     wanted = kinds.join(sizes, "core").select("core", (F.col("k") == 1).alias("open"), (F.col("kinds") > LARGE).alias("large"), "rep.*")
-    texts = docs.select(F.xxhash64("text").alias("th"), "text").where(F.octet_length("text") >= LENGTH)
+    texts = docs.select(F.xxhash64("text").alias("th"), "text").where(F.octet_length("text") >= length)
     lists = wanted.groupBy("th").agg(F.collect_list(F.struct("core", "open", "large", "at", "n", "lead")).alias("w"))  # at most a text's own slices
     one = texts.join(lists, "th")
 
@@ -256,8 +264,8 @@ def stretches(docs: DataFrame) -> DataFrame:
                 data = utf8(text)
                 for x in w:
                     core = x["at"] + x["lead"]
-                    behind = core + LENGTH - WIDTH + 1
-                    rows.append((x["core"], x["open"], x["large"], th, x["at"], x["n"], data[x["at"] : core], data[behind : x["at"] + x["n"] + LENGTH - 1]))
+                    behind = core + length - width + 1
+                    rows.append((x["core"], x["open"], x["large"], th, x["at"], x["n"], data[x["at"] : core], data[behind : x["at"] + x["n"] + length - 1]))
             yield pd.DataFrame(rows, columns=["core", "open", "large", "th", "at", "n", "left", "right"])
 
     parts = cut(one.mapInPandas(sides, "core long, open boolean, large boolean, th long, at long, n int, left binary, right binary"), "sides")
@@ -277,9 +285,9 @@ def stretches(docs: DataFrame) -> DataFrame:
                     for k in range(start, end):
                         seen.setdefault((th[k], at[k]), k)
                     ks = list(seen.values())
-                    for k, u, v in repeats([left[k] for k in ks], [right[k] for k in ks]):
+                    for k, u, v in repeats([left[k] for k in ks], [right[k] for k in ks], width):
                         if opened[ks[k]]:
-                            out.append((th[ks[k]], at[ks[k]] + u, at[ks[k]] + v - 1 + LENGTH))
+                            out.append((th[ks[k]], at[ks[k]] + u, at[ks[k]] + v - 1 + length))
                 start = end
             return pd.DataFrame(out, columns=["th", "from_", "to_"])
 
@@ -299,20 +307,20 @@ def stretches(docs: DataFrame) -> DataFrame:
             for core, opened, th, at, n, left, right in zip(b["core"], b["open"], b["th"], b["at"], b["n"], b["left"], b["right"]):
                 for i in range(n):
                     l = left[i:]
-                    rows.append((core, hashlib.blake2b(l + b"\0" + right[: WIDTH - 1 - len(l)] + len(l).to_bytes(2, "big"), digest_size=16).digest(), opened, th, at + i))
+                    rows.append((core, hashlib.blake2b(l + b"\0" + right[: width - 1 - len(l)] + len(l).to_bytes(2, "big"), digest_size=16).digest(), opened, th, at + i))
             yield pd.DataFrame(rows, columns=["core", "h", "open", "th", "at"])
 
     each = parts.where("large").mapInPandas(single, "core long, h binary, open boolean, th long, at long").distinct()
     twice = each.groupBy("core", "h").agg(F.count("*").alias("k")).where("k > 1")
-    counted = each.where("open").join(twice, ["core", "h"]).select("th", F.col("at").alias("from_"), (F.col("at") + LENGTH).alias("to_"))
+    counted = each.where("open").join(twice, ["core", "h"]).select("th", F.col("at").alias("from_"), (F.col("at") + length).alias("to_"))
     return whole.unionAll(sorted_).unionAll(counted)
 
 
-def with_stretches(docs: DataFrame) -> DataFrame:
+def with_stretches(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with the column __cut: stretches of its text, or null."""
-    found = stretches(docs).groupBy("th", "from_").agg(F.max("to_").alias("to_"))
+    found = stretches(docs, length).groupBy("th", "from_").agg(F.max("to_").alias("to_"))
     found = cut(found.groupBy("th").agg(F.sort_array(F.collect_list(F.struct("from_", "to_"))).alias("__cut")), "cuts")  # one text's own
-    keyed = docs.withColumn("__th", F.when(F.octet_length("text") >= LENGTH, F.xxhash64("text")))
+    keyed = docs.withColumn("__th", F.when(F.octet_length("text") >= length, F.xxhash64("text")))
     return keyed.join(found.withColumnRenamed("th", "__th"), "__th", "left").drop("__th")
 
 
@@ -348,16 +356,19 @@ def report(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", "text", "__cut").mapInPandas(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs, their texts without repeated stretches (whole characters only)."""
+def without_repeats(docs: DataFrame, length: int = LENGTH, n_words: int = 0) -> DataFrame:
+    """docs, their texts without stretches of repeated strings of length bytes (whole characters only).
+
+    Of stretches under LENGTH bytes only those of n_words words or more are cut; a word that is cut at an end counts.
+    """
 
     @F.pandas_udf("string")
     def shortened(text: pd.Series, spans: pd.Series) -> pd.Series:
         def one(t, s):
-            cuts = merged(s)
+            data, at, out = utf8(t), 0, []
+            cuts = [(u, v) for u, v in merged(s) if v - u >= LENGTH or len(data[u:v].split()) >= n_words]
             if not cuts:
                 return t
-            data, at, out = utf8(t), 0, []
             for u, v in cuts:
                 while u < v and data[u] & 0xC0 == 0x80:
                     u += 1
@@ -369,7 +380,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
         return pd.Series([one(t, s) for t, s in zip(text, spans)], index=text.index, dtype=object)
 
-    df = with_stretches(docs)
+    df = with_stretches(docs, length)
     return df.withColumn("text", F.when(F.col("__cut").isNull(), F.col("text")).otherwise(shortened("text", "__cut"))).select(docs.columns)
 
 
@@ -377,19 +388,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
-def by_definition(texts: dict) -> dict:
+def by_definition(texts: dict, length: int = LENGTH) -> dict:
     """The definition on a small table {doc_id: text}: for tests."""
     seen: dict[bytes, int] = {}
     data = {i: utf8(t) for i, t in texts.items()}
     for d in data.values():
-        for k in range(len(d) - LENGTH + 1):
-            seen[d[k : k + LENGTH]] = seen.get(d[k : k + LENGTH], 0) + 1
+        for k in range(len(d) - length + 1):
+            seen[d[k : k + length]] = seen.get(d[k : k + length], 0) + 1
     out = {}
     for i, d in data.items():
         gone = bytearray(len(d))
-        for k in range(len(d) - LENGTH + 1):
-            if seen[d[k : k + LENGTH]] > 1:
-                gone[k : k + LENGTH] = b"\1" * LENGTH
+        for k in range(len(d) - length + 1):
+            if seen[d[k : k + length]] > 1:
+                gone[k : k + length] = b"\1" * length
         kept = bytes(c for c, g in zip(d, gone) if not g)
         runs = sum(1 for k in range(len(d)) if gone[k] and (k == 0 or not gone[k - 1]))
         out[i] = (len(d), sum(gone), runs, hashlib.sha256(kept).hexdigest())

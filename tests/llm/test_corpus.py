@@ -341,3 +341,26 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs_, SF)
         assert out.columns == docs_.columns and 0 < out.count() <= docs_.count()
+
+
+def test_repeats_of_other_lengths_equal_definition(spark, texts, monkeypatch):
+    more = {i: t for i, t in texts.items() if i < 45} | {90: "ab" * 60, 91: "x" * 100, 92: "y" * 102, 93: "z" * 101, 94: "z" * 101, 95: "a b " * 40}
+    for length in (101, 250):
+        want = suffix_dedup.by_definition(more, length)
+        got = suffix_dedup.with_stretches(docs(spark, more), length).collect()
+        assert {r["doc_id"]: sum(v - u for u, v in suffix_dedup.merged(r["__cut"])) for r in got} == {i: x[1] for i, x in want.items()}
+
+
+def test_pipeline_cuts_passages_of_51_words(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rnd = random.Random(12)
+    own = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    long, thin, short = own(51), " ".join(rnd.choice("abcdefghijklmnop") for _ in range(51)), own(30)
+    assert len(long) < 400 and len(short) > 101
+    texts = {}
+    for i, p in enumerate((long, long, thin, thin, short, short)):
+        texts[i] = f"{own(150)} {p} {own(130)}"
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeats(spark, docs(spark, texts), SF).collect()}
+    assert all(long not in t and thin not in t for t in got.values())
+    assert [len(texts[i]) - len(got[i]) >= 101 for i in range(6)] == [True] * 4 + [False] * 2
+    assert short in got[4] and short in got[5]
