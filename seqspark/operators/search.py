@@ -235,14 +235,15 @@ class Engine:
         seeds = words.seed_join(make(queries), index if index is not None else make(subjects), queries, w, near)
         return words.two_hits(seeds, self.p.window, self.p.overlap)
 
-    def prelim(self, queries: DataFrame, subjects: DataFrame, index: DataFrame | None = None) -> tuple[DataFrame, int]:
+    def prelim(self, queries: DataFrame, subjects: DataFrame, index: DataFrame | None = None, exact: bool = False) -> tuple[DataFrame, int]:
         letters = int(subjects.agg(F.sum("length")).first()[0] or 0)
-        hits = self.triggers(queries, subjects, index=index).groupBy("query_id", "seq_id").agg(F.collect_list(F.struct("diag", "q_off", "distance")).alias("hits"))
+        hits = self.triggers(queries, subjects, exact, index).groupBy("query_id", "seq_id").agg(F.collect_list(F.struct("diag", "q_off", "distance")).alias("hits"))
         pairs = hits.join(queries.select(F.col("seq_id").alias("query_id"), F.col("residues").alias("q")), "query_id").join(subjects.select("seq_id", F.col("residues").alias("s")), "seq_id")
         return prelim(pairs, letters, self.p), letters
 
-    def search(self, queries: DataFrame, subjects: DataFrame, index: DataFrame | None = None) -> DataFrame:
-        hsps, letters = self.prelim(queries, subjects, index)
+    def search(self, queries: DataFrame, subjects: DataFrame, index: DataFrame | None = None, exact: bool = False) -> DataFrame:
+        """exact: seeds are equal words of Params.word letters instead of similar ones."""
+        hsps, letters = self.prelim(queries, subjects, index, exact)
         top = best_pairs(hsps, 2 * self.p.max_hits + 50)
         return ranked(finish(top, queries, subjects, letters, self.p), self.p.max_hits)
 

@@ -1,8 +1,8 @@
 """Named queries over the search and collection operators, each with its SQL form where SQL can express it.
 
 Texts of ``documents`` are the subjects and those of ``benchmark`` the queries. Similar-word seeds over prose are too many for
-whole tables (a word of three letters hits every document), so searches here take words of W letters; the protein defaults are
-for protein collections.
+whole tables (a word of three letters hits every document), so searches here take equal words of W letters; the protein defaults
+run over part names (search_parts) and are for protein collections.
 """
 
 from __future__ import annotations
@@ -170,6 +170,11 @@ def smith_waterman(spark, d):
     return search.Engine(spark).exhaustive(_items(spark, d), _parts(spark, d)).select("query_id", "seq_id", "score", "q_end", "s_end")
 
 
+def smith_waterman_documents(spark, d):
+    """Items against whole documents, exhaustively."""
+    return search.Engine(spark).exhaustive(_items(spark, d), _docs(spark, d).repartition("seq_id")).select("query_id", "seq_id", "score", "q_end", "s_end")
+
+
 def spex_words(spark, d):
     return words.repeated_words(_docs(spark, d), 30).groupBy("n").agg(F.count("*").alias("n_words"))
 
@@ -192,7 +197,13 @@ def search_parts(spark, d):
     return search.Engine(spark).search(items, parts).select("query_id", "seq_id", "q_start", "q_end", "s_start", "s_end", "score", "identities", "length", "rank")
 
 
-QUERIES = [alphabet_class, decode_roundtrip, reverse_complements, db_stats, length_histogram, systematic_sample, length_select, sort_by_length, composition, fasta_text, word_codes, postings_stats, neighbor_words, seed_hits, seed_diagonals, two_hit_pairs, one_hit_runs, two_hit_top, hsp_purge, bit_scores, hsp_evalues, query_karlin, low_complexity, dust_regions, smith_waterman, spex_words, shared_word_pairs, winnow_fingerprints, nr_representatives, search_parts]
+def search_documents(spark, d):
+    """The whole search, items against documents, seeded by equal words of W letters."""
+    found = search.Engine(spark, search.Params(word=W)).search(_items(spark, d), _docs(spark, d), exact=True)
+    return found.select("query_id", "seq_id", "q_start", "q_end", "s_start", "s_end", "score", "identities", "length", "rank")
+
+
+QUERIES = [alphabet_class, decode_roundtrip, reverse_complements, db_stats, length_histogram, systematic_sample, length_select, sort_by_length, composition, fasta_text, word_codes, postings_stats, neighbor_words, seed_hits, seed_diagonals, two_hit_pairs, one_hit_runs, two_hit_top, hsp_purge, bit_scores, hsp_evalues, query_karlin, low_complexity, dust_regions, smith_waterman, spex_words, shared_word_pairs, winnow_fingerprints, nr_representatives, search_parts, search_documents, smith_waterman_documents]
 
 
 def queries() -> dict:

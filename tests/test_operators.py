@@ -192,3 +192,33 @@ def test_nr_representatives_query_over_documents(spark, tmp_path):
     assert [want[i][0] for i in (2, 3, 4, 5, 11, 12)] == [0, 0, 0, 0, 1, 0]
     got = {r["seq_id"]: (r["cluster_id"], r["identity"]) for r in catalogue.queries()["nr_representatives"](spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_search_documents_finds_planted_passages(spark, tmp_path):
+    from seqspark.plans import catalogue
+
+    some = mixed(random.Random(9))
+    items = {1: some(90), 2: some(120)}
+    docs = {i: some(600) for i in range(6)}
+    docs[3] = docs[3][:300] + items[1] + docs[3][300:]
+    docs[5] = items[2][:60] + "WW" + items[2][62:] + docs[5]
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = catalogue.queries()["search_documents"](spark, str(tmp_path)).where("rank = 1").collect()
+    best = {r["query_id"]: r for r in sorted(rows, key=lambda r: r["score"])}
+    assert best[1]["seq_id"] == 3 and best[1]["s_start"] <= 300 and best[1]["s_end"] >= 390 and best[1]["identities"] >= 90
+    assert best[2]["seq_id"] == 5 and best[2]["q_start"] == 0 and best[2]["q_end"] == 120 and best[2]["identities"] >= 118
+
+
+def test_smith_waterman_over_documents(spark, tmp_path):
+    from seqspark.plans import catalogue
+
+    some = mixed(random.Random(10))
+    item = some(70)
+    docs = {i: some(300) for i in range(4)}
+    docs[2] = docs[2][:100] + item + docs[2][100:]
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = catalogue.queries()["smith_waterman_documents"](spark, str(tmp_path)).collect()
+    best = max(rows, key=lambda r: r["score"])
+    assert len(rows) == 4 and (best["query_id"], best["seq_id"]) == (7, 2)
