@@ -3,7 +3,7 @@
 1. toxicity: documents that the fitted classifier rejects go;
 2. near duplicates: of each class of the exact 5-gram Jaccard join at 0.8, the document with the least doc_id stays;
 3. repeated substrings: stretches of repeated strings are cut out (whole characters only), if they have over 50 words or at least 400 bytes;
-4. benchmark leaks: documents that contain a window of a benchmark item go;
+4. benchmark leaks: documents that contain a window of a benchmark item of 8 words or more go, and those with two shorter items or more;
 5. SentencePiece: the texts become token ids; ``exact`` tells whether decoding gives the text back.
 
 A stage is written and read again before the next one begins, so that lineage ends there.
@@ -36,7 +36,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"), least_short=2)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,6 +74,7 @@ class Items:
     def __init__(self, items: list[tuple[str, str | None]]):
         words = [(i, w) for i, t in items if (w := words_of(t))]
         self.names = [i for i, _ in words]
+        self.short = {*self.names} - {i for i, w in words if len(w) >= WINDOW}
         self.vocab: dict[bytes, int] = {b"|": -2}
         flat = [[self.vocab.setdefault(x, len(self.vocab)) for x in w] for _, w in words]
         self.starts = np.cumsum([0, *map(len, flat)])
@@ -187,20 +188,25 @@ def report(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -> DataF
     return df.select("doc_id", "n_words", covered("spans").alias("n_hit"), n.alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n >= least_items).alias("contaminated"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any hit, in the columns of documents; narrow passes, one for each block of items."""
+def keep_clean(docs: DataFrame, benchmark: DataFrame, least_short: int = 1, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The documents with no window of an item of WINDOW words or more and fewer than least_short items of fewer words.
+
+    In the columns of documents; narrow passes, one for each block of items.
+    """
     spark = docs.sparkSession
     tune(spark)
-    df = docs
-    for k, items in enumerate(blocks(benchmark)):
+    df = docs.withColumn("__short", F.lit(0))
+    for k, items in enumerate(blocks(benchmark, block_chars)):
         held = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             for b in batches:
-                yield b[[not found for _, _, found in match_texts(held.value, list(b["text"]))]]
+                found = [names for _, _, names in match_texts(held.value, list(b["text"]))]
+                b["__short"] += [sum(i in held.value.short for i in names) for names in found]
+                yield b[[held.value.short.issuperset(names) and n < least_short for names, n in zip(found, b["__short"])]]
 
-        df = (cut(df, "leaks") if k else df).mapInPandas(run, docs.schema)
-    return df
+        df = (cut(df, "leaks") if k else df).mapInPandas(run, df.schema)
+    return df.drop("__short")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

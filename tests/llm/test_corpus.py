@@ -364,3 +364,17 @@ def test_pipeline_cuts_passages_of_51_words(spark):
     assert all(long not in t and thin not in t for t in got.values())
     assert [len(texts[i]) - len(got[i]) >= 101 for i in range(6)] == [True] * 4 + [False] * 2
     assert short in got[4] and short in got[5]
+
+
+def test_pipeline_keeps_documents_with_one_short_item(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    long = "one two three four five six seven eight nine"
+    items = [(1, "eta1"), (2, "ONE Two"), (3, long), (4, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = {0: None, 1: "x eta1 y eta1", 2: "x one two y", 3: "eta1 and one two", 4: f"a {long} b", 5: "four five six seven eight nine ten", 6: "nothing"}
+    kept = corpus_pipeline.drop_leaks(spark, docs(spark, texts), str(tmp_path))
+    assert kept.columns == docs(spark, texts).columns
+    assert {r["doc_id"] for r in kept.collect()} == {0, 1, 2, 5, 6}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for size in (10**9, 10):
+        assert {r["doc_id"] for r in decontaminate.keep_clean(docs(spark, texts), bench, 2, size).collect()} == {0, 1, 2, 5, 6}
