@@ -1,4 +1,4 @@
-"""Sequence collections: loading from tables, statistics, sampling, selection, length order, blocks, cluster expansion."""
+"""Sequence collections: loading from tables, statistics, sampling, selection, length order, cluster expansion."""
 
 from __future__ import annotations
 
