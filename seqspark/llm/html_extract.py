@@ -185,10 +185,8 @@ def main_text(page: str | None) -> str:
         if best.parent is not None and best.tag not in ("article", "main", "body"):
             around = []
             for k in best.parent.kids:
-                if type(k) is not Node or k.cut:
-                    continue
-                density = k.link / max(1, k.chars)
-                if k is best or (k.points or 0) >= least and density < 0.5 or k.tag == "p" and (k.chars > 80 and density < 0.25 or k.chars and density == 0):
+                # headings, and all that isn't cut and isn't mostly links, belong to it, whatever their points
+                if type(k) is str or k is best or not k.cut and (k.tag in ("h1", "h2", "h3", "h4", "h5", "h6") or k.link < 0.5 * max(1, k.chars)):
                     around.append(k)
         elif best.tag == "article" and best.parent is not None:
             around = [k for k in best.parent.kids if k is best or type(k) is Node and k.tag == "article" and not k.cut and (k.points or 0) >= least]

@@ -378,3 +378,9 @@ def test_pipeline_keeps_documents_with_one_short_item(spark, tmp_path):
     bench = spark.createDataFrame(items, "item_id long, text string")
     for size in (10**9, 10):
         assert {r["doc_id"] for r in decontaminate.keep_clean(docs(spark, texts), bench, 2, size).collect()} == {0, 1, 2, 5, 6}
+
+
+def test_siblings_of_the_best_container_stay():
+    page = "<body><div id=page><h1><a href=z>The title</a></h1>Bare text here<div class=body><p>A long paragraph, with commas, and words, to be found by scores.</p><p>Another, long, paragraph for good measure, too.</p></div><div><p>Sixty letters of prose that have no comma in them at all here</p></div><div><a href=x>Links here</a> <a href=y>and there</a></div><div class=sidebar><p>Off the page</p></div></div></body>"
+    want = "The title Bare text here A long paragraph, with commas, and words, to be found by scores. Another, long, paragraph for good measure, too. Sixty letters of prose that have no comma in them at all here"
+    assert html_extract.main_text(page) == want
