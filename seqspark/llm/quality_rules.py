@@ -6,8 +6,8 @@ it is precise there; rows it covers leave, and the next rule follows. The list b
 conditional expression over the statistics. Only the fit sees labels; it uses at most ``FIT_ROWS`` labelled rows,
 the first in an order by hash, and only their statistics (five numbers a row) reach the driver.
 
-Edge cases: null and empty texts have zero words, fail the base rules and are not kept; repeated rows are judged
-each by itself; without labels the list is empty and keeps what passes the base rules; other input columns are
+Edge cases: null, empty and blank texts have zero words (their ratios are taken to one word, so no test divides by
+zero), fail the base rules and are not kept; repeated rows are judged each by itself; without labels the list is empty and keeps what passes the base rules; other input columns are
 ignored. Very long texts are handled one at a time.
 """
 
@@ -76,10 +76,13 @@ def with_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return df.mapInPandas(run, f"`{id_col}` {kind}, " + ", ".join(f"{s} bigint" for s in STATS))
 
 
-def ratios(n: dict) -> dict:
-    """The features of the learned tests, as columns or arrays: plain ratios of the statistics."""
-    words = n["n_words"]
-    return {"n_words": words, "chars_per_word": n["word_chars"] * 1.0 / words, "symbols_per_word": n["n_symbols"] * 1.0 / words, "dup_lines": n["n_dup_lines"], "repeat_share": n["n_repeat_words"] * 1.0 / words}
+def ratios(n: dict, at_least_one) -> dict:
+    """The features of the learned tests, as columns or arrays: ratios of the statistics, to one word where a text has none.
+
+    at_least_one gives the greater of a column or array and 1.
+    """
+    words = at_least_one(n["n_words"])
+    return {"n_words": n["n_words"], "chars_per_word": n["word_chars"] * 1.0 / words, "symbols_per_word": n["n_symbols"] * 1.0 / words, "dup_lines": n["n_dup_lines"], "repeat_share": n["n_repeat_words"] * 1.0 / words}
 
 
 def entropy_gain(p0, n0, p1, n1) -> float:
@@ -144,7 +147,7 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray) -> list[list[tuple[str, str
 
 def expression(rules: list[list[tuple[str, str, float]]]) -> Column:
     """The number of the first rule that fits a row, null if none: one ordered conditional."""
-    f = ratios({s: F.col(s) for s in STATS})
+    f = ratios({s: F.col(s) for s in STATS}, lambda c: F.greatest(c, F.lit(1)))
     out = None
     for i, rule in enumerate(rules):
         test = F.lit(True)
@@ -166,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[li
     if got.empty:
         return []
     got = got.sort_values(["doc_id", *STATS], kind="stable").sample(frac=1.0, random_state=7)
-    x = {k: np.asarray(v, float) for k, v in ratios({s: got[s].to_numpy() for s in STATS}).items()}
+    x = {k: np.asarray(v, float) for k, v in ratios({s: got[s].to_numpy() for s in STATS}, lambda a: np.maximum(a, 1)).items()}
     return learn(x, got["quality"].to_numpy() == 0)
 
 

@@ -104,6 +104,30 @@ def test_quality_statistics_and_rules(spark, texts):
     assert quality_rules.apply_rules(with_null_id(spark), []).count() == 4
 
 
+def test_learned_rules_meet_texts_without_words(spark):
+    rules = [[("chars_per_word", ">=", 9.0)], [("repeat_share", "<=", -1.0), ("symbols_per_word", ">=", 0.5)], [("dup_lines", ">=", 3.0)]]
+    texts = {0: None, 1: "", 2: " \n\t ", 3: "x " * 5, 4: " ".join(f"w{i}" for i in range(12)), 5: " ".join(f"longwordnumber{i}" for i in range(12)), 6: "abcd efgh ijkl\n" * 4}
+    got = {r["doc_id"]: (r["n_words"], r["base_failed"], r["kept"], r["rule"]) for r in quality_rules.apply_rules(docs(spark, texts), rules).collect()}
+    assert got == {0: (0, True, False, None), 1: (0, True, False, None), 2: (0, True, False, None), 3: (5, True, False, None), 4: (12, False, True, None), 5: (12, False, False, 0), 6: (12, True, False, None)}
+    assert quality_rules.apply_rules(with_null_id(spark), rules).count() == 4 and quality_rules.apply_rules(empty(spark), rules).count() == 0
+
+
+def held_out_quality(spark, folder):
+    """Rules learned from four fifths of the labelled rows; (precision, recall) of `not kept` for label 0 on the rest."""
+    d, y = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    out = quality_rules.apply_rules(d, quality_rules.fit(d, y.where(~rest))).join(y.where(rest).select("doc_id", "quality"), "doc_id")
+    n = {(r["kept"], r["quality"]): r["count"] for r in out.groupBy("kept", "quality").count().collect()}
+    bad = n.get((False, 0), 0)
+    return bad / max(1, bad + n.get((False, 1), 0)), bad / max(1, bad + n.get((True, 0), 0))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_quality_on_held_out_labels(spark):
+    precision, recall = held_out_quality(spark, "/root/testdata/sf0.01")
+    assert precision >= 0.9 and recall >= 0.6
+
+
 def test_sharding_is_balanced_and_gapless(spark, texts):
     many = {i: f"t{i % 7}" for i in range(1003)} | {2000: None}
     rows = sharding.assign(docs(spark, many)).collect()
