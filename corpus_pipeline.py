@@ -2,7 +2,7 @@
 
 1. toxicity: documents that the fitted classifier rejects go;
 2. near duplicates: of each class of the exact 5-gram Jaccard join at 0.8, the document with the least doc_id stays;
-3. repeated substrings: stretches of repeated strings are cut out (whole characters only), if they have over 50 words or at least 400 bytes;
+3. repeated substrings: strings of 51 words that occur elsewhere too are cut out, overlaps included, so that no passage of over 50 words stands in two places;
 4. benchmark leaks: documents that contain a window of a benchmark item of 8 words or more go, and those with two shorter items or more;
 5. SentencePiece: the texts become token ids; ``exact`` tells whether decoding gives the text back.
 
@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 from seqspark.llm import decontaminate, jaccard_join, sp_encode, suffix_dedup, toxicity
 from seqspark.llm.common import cut, table
 
-#: Repeated passages of so many words go; they can't have fewer bytes than one a word and one between two.
+#: Repeated passages of so many words go.
 PASSAGE_WORDS = 51
-PASSAGE_BYTES = 2 * PASSAGE_WORDS - 1
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.without_repeats(docs, PASSAGE_BYTES, PASSAGE_WORDS)
+    out = suffix_dedup.without_repeats(docs, PASSAGE_WORDS, "words")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import cut, new_path, shared_dir  # noqa: F401
+from ..storage import new_path, shared_dir  # noqa: F401
 
 #: Rows handed to a Python worker at once; bounds a worker's memory for long texts.
 ARROW_ROWS = 256
@@ -23,8 +23,18 @@ def tune(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def drop_cut(df_or_path, spark: SparkSession) -> None:
-    """Deletes a written table that no plan needs any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df_or_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
+    """Writes df to the shared folder and reads it again: lineage ends there, and a lost executor costs nothing."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, kind)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` wrote, once nothing that is still to run reads them."""
+    for df in tables:
+        spark, path = df.sparkSession, df.written_to
+        name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(name, True)

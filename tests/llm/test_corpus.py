@@ -270,10 +270,18 @@ def test_suffix_dedup_equals_definition(spark, texts):
     assert suffix_dedup.report(empty(spark)).count() == 0 and suffix_dedup.report(with_null_id(spark)).count() == 4
 
 
-def test_large_groups_are_counted(spark, texts, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "LARGE", 1)
-    got = {r[0]: tuple(r[1:]) for r in suffix_dedup.report(docs(spark, texts)).collect()}
-    assert got == suffix_dedup.by_definition(texts)
+def test_large_groups_are_narrowed(spark, texts, monkeypatch):
+    for length, group in ((400, 1), (400, 5), (120, 2)):
+        monkeypatch.setattr(suffix_dedup, "GROUP", group)
+        got = suffix_dedup.with_stretches(docs(spark, texts).select("doc_id", "text"), length).collect()
+        assert {r["doc_id"]: sum(v - u for u, v in suffix_dedup.merged(r["__cut"], r["__all"], len((r["text"] or "").encode()))) for r in got} == {i: x[1] for i, x in suffix_dedup.by_definition(texts, length).items()}
+
+
+def test_hot_texts_are_sliced_once(spark, texts, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 20)
+    more = dict(texts) | {k: texts[9 + k % 2] for k in range(100, 140)} | {k: texts[5] for k in range(200, 230)}
+    got = {r[0]: tuple(r[1:]) for r in suffix_dedup.report(docs(spark, more)).collect()}
+    assert got == suffix_dedup.by_definition(more)
 
 
 def test_token_files_round_trip(spark, texts, tmp_path):
@@ -367,12 +375,21 @@ def test_pipeline(spark):
         assert out.columns == docs_.columns and 0 < out.count() <= docs_.count()
 
 
-def test_repeats_of_other_lengths_equal_definition(spark, texts, monkeypatch):
+def test_repeats_of_other_lengths_equal_definition(spark, texts):
     more = {i: t for i, t in texts.items() if i < 45} | {90: "ab" * 60, 91: "x" * 100, 92: "y" * 102, 93: "z" * 101, 94: "z" * 101, 95: "a b " * 40}
-    for length in (101, 250):
-        want = suffix_dedup.by_definition(more, length)
-        got = suffix_dedup.with_stretches(docs(spark, more), length).collect()
-        assert {r["doc_id"]: sum(v - u for u, v in suffix_dedup.merged(r["__cut"])) for r in got} == {i: x[1] for i, x in want.items()}
+    for length, unit in ((101, "bytes"), (250, "bytes"), (7, "words"), (51, "words")):
+        want = suffix_dedup.by_definition(more, length, unit)
+        got = suffix_dedup.with_stretches(docs(spark, more), length, unit).collect()
+        size = lambda t: len((t or "").encode() if unit == "bytes" else (t or "").split())
+        assert {r["doc_id"]: sum(v - u for u, v in suffix_dedup.merged(r["__cut"], r["__all"] and size(r["text"]) >= length, size(r["text"]))) for r in got} == {i: x[1] for i, x in want.items()}
+
+
+def test_words_are_cut_with_what_stands_between_them():
+    t = "  one\ttwo \n three four  "
+    assert suffix_dedup.shorter(t, [{"from_": 1, "to_": 3}], False, "words", 2) == "  one\t four  "
+    assert suffix_dedup.shorter(t, None, True, "words", 4) == "    " and suffix_dedup.shorter(t, None, True, "words", 5) == t
+    assert suffix_dedup.shorter(None, None, False, "words", 5) is None
+    assert suffix_dedup.shorter("aéé", [{"from_": 2, "to_": 4}], False, "bytes", 2) == "aéé"
 
 
 def test_pipeline_cuts_passages_of_51_words(spark):
@@ -387,7 +404,7 @@ def test_pipeline_cuts_passages_of_51_words(spark):
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeats(spark, docs(spark, texts), SF).collect()}
     assert all(long not in t and thin not in t for t in got.values())
     assert [len(texts[i]) - len(got[i]) >= 101 for i in range(6)] == [True] * 4 + [False] * 2
-    assert short in got[4] and short in got[5]
+    assert got[4] == texts[4] and got[5] == texts[5]
 
 
 def test_pipeline_keeps_documents_with_one_short_item(spark, tmp_path):
