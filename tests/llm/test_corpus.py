@@ -312,6 +312,22 @@ def test_token_parts_equal_whole_texts():
         assert e.encode(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes(), t
 
 
+def test_matrices_decide_the_states_at_cuts():
+    m = sp_encode.Model(TOKENIZERS.path("piece_bpe_32k.model"))
+    s = sp_encode.shown("international understanding" * 3)
+    cuts = sp_encode.spans(len(s), 10)
+    every = [sp_encode.transfer(m, s, lo, hi, c == 0, c == len(cuts) - 1) for c, (lo, hi) in enumerate(cuts)]
+    left = [np.zeros((1, 1))]
+    for x in every:
+        left.append(sp_encode.combine(left[-1], x))
+    right = every[-1]
+    for x in every[-2::-1]:
+        right = sp_encode.combine(x, right)
+    assert (left[-1] == right).all() and right.shape == (1, 1) and right[0, 0] == 0  # combined from either end
+    assert any(len(x) > 1 for x in every)
+    assert b"".join(sp_encode.backtrace(m, s, lo, hi, c == 0, c == len(cuts) - 1, k, j) for c, ((lo, hi), (k, j)) in enumerate(zip(cuts, sp_encode.resolve(every)))) == np.array(m.sp.encode("international understanding" * 3), np.int32).tobytes()
+
+
 def test_scan_equals_library(spark, texts):
     m = sp_encode.Model(TOKENIZERS.path("piece_bpe_32k.model"))
     rnd = random.Random(1)
@@ -320,7 +336,7 @@ def test_scan_equals_library(spark, texts):
         t = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40)))
         for chunk in (1, 3, 7, 10**6):
             ids = sp_encode.encode_text(m, t, chunk)
-            assert ids == m.sp.encode(t)
+            assert ids.tolist() == m.sp.encode(t)
         assert sp_encode.decode_ids(m, ids) == t.replace("▁", " ")
     path = TOKENIZERS.path("piece_bpe_32k.model")
     more = dict(texts) | {70: "".join(texts[5].split()), 71: texts[5] * 3}
