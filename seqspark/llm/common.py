@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..storage import new_path, shared_dir  # noqa: F401
 
 #: Rows handed to a Python worker at once; bounds a worker's memory for long texts.
 ARROW_ROWS = 256
+#: Keys with more than one row in so many are joined by broadcast: fewer than HOT keys, whatever the data.
+HOT = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,3 +41,15 @@ def release(*tables: DataFrame) -> None:
         spark, path = df.sparkSession, df.written_to
         name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(name, True)
+
+
+def counted(rows: DataFrame, counts: DataFrame, keys: list[str], weight: str, each: int = 1) -> DataFrame:
+    """rows joined with a table by keys; weight: the number of rows of a key, each: rows of ``counts`` a key has at most.
+
+    Keys with over 1/HOT of all rows, fewer than HOT of them, are broadcast, so that no task of the join holds such a key.
+    ``counts`` must be a written table or cheap to compute.
+    """
+    total = (counts.agg(F.sum(weight)).first()[0] or 0) / each
+    hot = F.broadcast(counts.where(F.col(weight) > total / HOT))
+    cold = counts.where(F.col(weight) <= total / HOT)
+    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(hot.select(keys).distinct()), keys, "left_anti").join(cold, keys))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_parts, table, tune
+from .common import counted, cut, release, shuffle_parts, table, tune
 from .components import components
 
 N = 5
@@ -194,10 +194,16 @@ class Verifier:
         return full.mapInPandas(run, "a long, b long")
 
 
-def pivot_pairs(at: DataFrame, pivots: int) -> DataFrame:
-    """Pairs of each region's first members by hash with its other members of other classes, within the bounds."""
-    x, y = at.where(F.col("rank") <= pivots).alias("x"), at.alias("y")
-    pairs = x.join(y, F.col("x.token") == F.col("y.token")).where((F.col("x.rank") < F.col("y.rank")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y"))
+def pivot_pairs(at: DataFrame, sizes: DataFrame, pivots: int) -> DataFrame:
+    """Pairs of each region's first members by hash with its other members of other classes, within the bounds.
+
+    The first members are found by a limit within each task before any shuffle; hot regions get theirs by broadcast.
+    """
+    first = at.withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("sid"))).where(F.col("rank") <= pivots).drop("rank")
+    x = first.select("token", *[F.col(c).alias(f"x_{c}") for c in ("sid", "n", "pos", "comp")]).join(sizes.select("token", "k"), "token")
+    pairs = counted(at, cut(x, "pivots"), ["token"], "k", pivots).select("token", F.struct("x_sid", "x_n", "x_pos", "x_comp").alias("x"), F.struct("sid", "n", "pos", "comp").alias("y"))
+    pairs = pairs.select("token", F.struct(*[F.col(f"x.x_{c}").alias(c) for c in ("sid", "n", "pos", "comp")]).alias("x"), "y")
+    pairs = pairs.where((F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y"))
     return pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
 
 
@@ -266,20 +272,27 @@ def rest_pairs(at: DataFrame, bits: DataFrame, block: int) -> DataFrame:
     return dealt.mapInPandas(run, "a long, b long, n int, m int")
 
 
+def regions_open(at: DataFrame, of: str) -> DataFrame:
+    """token, k (rows) of regions with more than one value of a column: partial aggregates, however many rows a region has."""
+    each = at.groupBy("token").agg(F.min(of).alias("lo"), F.max(of).alias("hi"), F.count("*").alias("k"))
+    return cut(each.where("lo != hi").select("token", "k"), "sizes")
+
+
 def classes(docs: DataFrame, base: DataFrame, hot: bytes, block: int = BLOCK) -> DataFrame:
     """sid, comp: the classes of sets that have a link (others are not listed)."""
     docs = docs.select("doc_id", "text")
     check = Verifier(docs, base)
-    w = Window.partitionBy("token")
-    found = regions(docs, hot).withColumn("lo", F.min("sid").over(w)).withColumn("hi", F.max("sid").over(w)).where("lo != hi")
-    at = cut(found.groupBy("token", "sid").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "regions")
+    found = cut(regions(docs, hot), "regions")
+    sizes = regions_open(found, "sid")
+    at = cut(counted(found, sizes, ["token"], "k").groupBy("token", "sid").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "regions")
+    release(found)
     at = at.withColumn("comp", F.col("sid"))
     links = None
     for pivots in (*ROUNDS, None):
         if pivots:
-            pairs = pivot_pairs(at.withColumn("rank", F.row_number().over(w.orderBy("sid"))), pivots)
+            pairs = pivot_pairs(at, sizes, pivots)
         else:
-            sized = at.withColumn("k", F.count("*").over(w))
+            sized = counted(at, sizes, ["token"], "k")
             bits = base.where("n > 0").groupBy("sid").agg(F.first("bits").alias("bits"))
             pairs = small_pairs(sized.where(F.col("k") <= SMALL)).unionAll(rest_pairs(sized.where(F.col("k") > SMALL).drop("k"), bits, block))
         new = cut(check.links(pairs), "links")
@@ -287,8 +300,9 @@ def classes(docs: DataFrame, base: DataFrame, hot: bytes, block: int = BLOCK) ->
         comps = cut(components(links), "comps")
         if pivots:
             at = at.drop("comp").join(comps.withColumnRenamed("id", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-            at = at.withColumn("c0", F.min("comp").over(w)).withColumn("c1", F.max("comp").over(w)).where("c0 != c1").drop("c0", "c1")
-            at = cut(at, "open")
+            at = cut(at, "classes")
+            sizes = regions_open(at, "comp")
+            at = cut(counted(at, sizes, ["token"], "k").drop("k"), "open")
     return comps
 
 

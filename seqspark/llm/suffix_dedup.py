@@ -42,14 +42,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, release, shuffle_parts, table, tune
+from . import common
+from .common import counted, cut, release, shuffle_parts, table, tune
 
 #: Bytes of a string that counts as a repeat unless the caller names another length.
 LENGTH = 400
 #: Different slices of a core that are sorted together; a larger core is narrowed first.
 GROUP = 512
-#: Keys with more than one row in so many are joined by broadcast: fewer than HOT keys.
-HOT = 500
 #: Strings of a very long text are handled so many at a time.
 BLOCK = 1 << 21
 CORE, STOP = 1, 0
@@ -286,13 +285,6 @@ def halves(left, right, width: int):
         yield 1, right[: width - h], own, right[width - h :], h, len(left) - len(own)
 
 
-def counted(rows: DataFrame, counts: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """rows with their keys' counts. Keys with over 1/HOT of all rows by ``weight``, fewer than HOT of them, are broadcast."""
-    total = counts.agg(F.sum(weight)).first()[0] or 0
-    hot = F.broadcast(counts.where(F.col(weight) > total / HOT))
-    return rows.join(hot, keys).unionByName(rows.join(hot.select(keys), keys, "left_anti").join(counts.where(F.col(weight) <= total / HOT), keys))
-
-
 def keyed(docs: DataFrame, length: int, unit: str) -> DataFrame:
     """th and ti (two hashes of a text) and text of the rows that can hold a string."""
     least = length if unit == "bytes" else 2 * length - 1
@@ -303,7 +295,7 @@ def hot_texts(texts: DataFrame) -> DataFrame:
     """th, ti of texts in over 1/HOT of all rows, and in two at least: fewer than HOT rows."""
     counts = cut(texts.groupBy("th", "ti").count(), "copies")
     total = counts.agg(F.sum("count")).first()[0] or 0
-    return counts.where((F.col("count") > total / HOT) & (F.col("count") > 1)).select("th", "ti")
+    return counts.where((F.col("count") > total / common.HOT) & (F.col("count") > 1)).select("th", "ti")
 
 
 def once(texts: DataFrame, hot: DataFrame) -> DataFrame:

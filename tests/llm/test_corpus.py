@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqspark.llm import components, decontaminate, html_extract, jaccard_join, quality_rules, registry, sharding, sp_encode, suffix_dedup, token_files, toxicity, url_filter
+from seqspark.llm import common, components, decontaminate, html_extract, jaccard_join, quality_rules, registry, sharding, sp_encode, suffix_dedup, token_files, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 TOKENIZERS = pytest.importorskip("public_tokenizers")
@@ -220,8 +220,10 @@ def test_decontamination_equals_definition(spark, texts):
     bench = spark.createDataFrame(list(items.items()) + [(1, items[1])], "item_id long, text string")
     want = brute_hits(texts, items)
     for size in (10**9, 150):
-        df = decontaminate.mark(docs(spark, texts), bench, block_chars=size)
-        assert {r["doc_id"]: r["items"] for r in df.collect()} and df.count() == len(texts)
+        rows = decontaminate.mark(docs(spark, texts), bench, block_chars=size).collect()
+        covered = {r["doc_id"]: {p for u, v in r["spans"] for p in range(u, v)} for r in rows}
+        found = {r["doc_id"]: (r["n_words"], len(covered[r["doc_id"]]), len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), len(r["items"]) >= 2) for r in rows}
+        assert found == want
     got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.report(docs(spark, texts), bench).collect()}
     assert got == want
     assert {r["doc_id"] for r in decontaminate.keep_clean(docs(spark, texts), bench).collect()} == {i for i, v in want.items() if v[2] == 0}
@@ -288,7 +290,7 @@ def test_large_groups_are_narrowed(spark, texts, monkeypatch):
 
 
 def test_hot_texts_are_sliced_once(spark, texts, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", 20)
+    monkeypatch.setattr(common, "HOT", 20)
     more = dict(texts) | {k: texts[9 + k % 2] for k in range(100, 140)} | {k: texts[5] for k in range(200, 230)}
     got = {r[0]: tuple(r[1:]) for r in suffix_dedup.report(docs(spark, more)).collect()}
     assert got == suffix_dedup.by_definition(more)
