@@ -5,8 +5,9 @@ so the gradient of the noisy-or decides which sentences answer for a label. A se
 words' weights; a word's weight is the sum over its hashed features (the word, and its first 4, 5 and 6 letters),
 so that unseen forms of a known stem still count. Scoring looks up one number per word.
 
-The fit uses at most ``FIT_ROWS`` labelled rows, half of each label (the first in an order by hash, texts over ``FIT_CHARS``
-characters left aside), from the folds that may be learned from; the model is a fixed-size array.
+The fit uses at most ``FIT_ROWS`` labelled rows, half of each label, whole texts of any length: the first in an order by hash of
+doc_id, until the rows of a label hold ``FIT_CHARS`` / 2 characters (the row that crosses the bound is the last), from the folds that may be learned from.
+That bounds what the driver holds, but for one text a label; the model is a fixed-size array.
 
 Edge cases: null and empty texts are one empty sentence and get its probability; labels of rows without a document
 are unused; repeated rows are scored each by itself; without usable labels the model is its prior (score near 0);
@@ -20,12 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, tune
 
-FIT_ROWS, FIT_CHARS = 4_000, 30_000
+FIT_ROWS, FIT_CHARS = 4_000, 16_000_000
 BITS = 18
 STEMS = (4, 5, 6)
 STRIPPED = ".,;:!?\"'()[]«»"
@@ -125,13 +126,16 @@ def fit_texts(texts: list[str | None], toxic: np.ndarray) -> tuple[np.ndarray, f
     return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, float]:
-    """Learns from at most fit_rows labelled documents outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> tuple[np.ndarray, float]:
+    """Learns from at most fit_rows labelled documents, of about fit_chars characters, outside the held-out fold."""
     usable = labels.where("doc_id is not null and toxic is not null and crc32(cast(cast(doc_id as string) as binary)) % 5 != 0")
     each = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     first = [each.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows // 2) for c in ("toxic = 1", "toxic != 1")]
     chosen = first[0].unionAll(first[1])
-    got = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= FIT_CHARS).join(F.broadcast(chosen), "doc_id").toPandas()
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"])  # fit_rows documents
+    order = Window.partitionBy(F.col("toxic") == 1).orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    before = F.coalesce(F.sum(F.length(F.coalesce("text", F.lit("")))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    got = found.withColumn("before", before).where(F.col("before") < fit_chars / 2).drop("before").toPandas()
     got = got.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
     if got.empty:
         return np.zeros(FEATURES), PRIOR
