@@ -1,11 +1,11 @@
 """Token ids in Arrow files of fixed-size-list batches, and reading them back.
 
-Documents are dealt by ranges of doc_id, and each task encodes its range in order and writes one Arrow IPC file: the
-ids as one stream, cut into sequences of equal length (``fixed_size_list``), with a mask of the same shape that
+Documents are dealt by ranges of doc_id, and each task encodes its range in order and writes Arrow IPC files, a new one
+after ``FILE_TOKENS`` tokens (at the end of a document): the ids as one stream, cut into sequences of equal length (``fixed_size_list``), with a mask of the same shape that
 is false over the padding of the last sequence. A second small file holds doc_id, start and n_tokens. Ids are
 uint16 where the vocabulary allows it. Files are uncompressed: a reader maps them and takes any sequence without
 copying. A file is written under a name of its own attempt and then renamed, so that a repeated task leaves one
-whole file.
+whole file. Reading goes batch by batch: a reader holds one batch and one document, whatever a file's size.
 
 Encoding is by the tokenizers library. Its pre-tokenizer always starts a piece at a blank that a visible
 character follows, so texts are cut there, and each distinct part is encoded once per worker (a bounded cache).
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import cut, new_path, shuffle_parts, table, tune
 
 LENGTH, ROWS, END = 2048, 256, 2
+FILE_TOKENS = 1 << 26
 CACHE = 500_000
 SIGNS = ".,;:!?"
 VISIBLE = re.compile(r"[!-~\w]")
@@ -107,12 +108,12 @@ def file_system(uri: str):
 
 
 class Writer:
-    """One task's two files."""
+    """One file of ids and the file of its documents."""
 
-    def __init__(self, folder: str, part: int, kind: str, length: int, rows: int):
+    def __init__(self, folder: str, name: str, kind: str, length: int, rows: int):
         self.fs, base = file_system(folder)
         self.fs.create_dir(base, recursive=True)
-        self.final, self.own = f"{base}/part-{part:06d}", f"{base}/.{part:06d}-{uuid.uuid4().hex}"
+        self.path, self.final, self.own = f"{folder}/{name}", f"{base}/{name}", f"{base}/.{name}-{uuid.uuid4().hex}"
         self.kind, self.length, self.rows, self.held, self.count = kind, length, rows, [], 0
         self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(np.dtype(kind)), length)), ("mask", pa.list_(pa.bool_(), length))])
         self.out = self.fs.open_output_stream(self.own + ".ids")
@@ -143,7 +144,7 @@ class Writer:
             full = len(data) // self.length
         self.held, self.count = [data.tobytes()], len(data)
 
-    def close(self) -> pd.DataFrame:
+    def close(self) -> None:
         self.flush(True)
         self.ipc.close()
         self.out.close()
@@ -154,11 +155,10 @@ class Writer:
                 ipc.write_table(t)
         for kind in (".ids", ".docs"):
             self.fs.move(self.own + kind, self.final + kind)
-        return index
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str, end: int = END, length: int = LENGTH, rows: int = ROWS) -> DataFrame:
-    """Writes the files; returns one row per file: part, path, tokens before it, its tokens. Runs at once."""
+def write(docs: DataFrame, tokenizer: str, folder: str, end: int = END, length: int = LENGTH, rows: int = ROWS, file_tokens: int = FILE_TOKENS) -> DataFrame:
+    """Writes the files; returns one row per file: part, number in the part, path, tokens before it, its tokens. Runs at once."""
     spark = docs.sparkSession
     tune(spark, 64)
     from tokenizers import Tokenizer
@@ -168,46 +168,70 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = END, length:
     ordered = dealt.sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, encoder, writer = TaskContext.get().partitionId(), Encoder(tokenizer, kind), None
+        part, encoder, writer, k = TaskContext.get().partitionId(), Encoder(tokenizer, kind), None, 0
         stop = np.array([end], kind).tobytes()
+
+        def closed() -> pd.DataFrame:
+            writer.close()
+            return pd.DataFrame({"part": [part], "k": [k], "path": [writer.path], "tokens": [writer.total]})
+
         for b in batches:
             for doc_id, text in zip(b["doc_id"], b["text"]):
-                writer = writer or Writer(folder, part, kind, length, rows)
+                writer = writer or Writer(folder, f"part-{part:06d}-{k:05d}", kind, length, rows)
                 writer.add(None if pd.isna(doc_id) else int(doc_id), encoder.encode(text) + stop)
+                if writer.total >= file_tokens:
+                    yield closed()
+                    writer, k = None, k + 1
         if writer is not None:
-            writer.close()
-            yield pd.DataFrame({"part": [part], "path": [f"{folder}/part-{part:06d}"], "tokens": [writer.total]})
+            yield closed()
 
-    files = cut(ordered.mapInPandas(run, "part int, path string, tokens long"), "files")
-    rows_ = sorted((r["part"], r["path"], r["tokens"]) for r in files.collect())  # one row per file
+    files = cut(ordered.mapInPandas(run, "part int, k int, path string, tokens long"), "files")
+    rows_ = sorted((r["part"], r["k"], r["path"], r["tokens"]) for r in files.collect())  # one row per file
     before, table_ = 0, []
-    for part, path, n in rows_:
-        table_.append((part, path, before, n))
+    for part, k, path, n in rows_:
+        table_.append((part, k, path, before, n))
         before += n
-    return spark.createDataFrame(table_, "part int, path string, before long, tokens long")
+    return spark.createDataFrame(table_, "part int, k int, path string, before long, tokens long")
+
+
+def opened(path: str):
+    fs, name = file_system(path)
+    return pa.ipc.open_file(pa.memory_map(name + ".ids") if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(name + ".ids"))
 
 
-def read(path: str) -> tuple[np.ndarray, np.ndarray, list]:
-    """(ids of one file without padding, its mask-checked length is their number; starts and n_tokens; doc_ids)."""
+def index(path: str) -> pa.Table:
+    """doc_id, start and n_tokens of a file's documents."""
     fs, name = file_system(path)
-    local = isinstance(fs, pafs.LocalFileSystem)
-    source = pa.memory_map(name + ".ids") if local else fs.open_input_file(name + ".ids")
-    ipc = pa.ipc.open_file(source)
-    parts = []
+    return pa.ipc.open_file(fs.open_input_file(name + ".docs")).read_all()
+
+
+def stream(path: str) -> Iterator[np.ndarray]:
+    """The ids of a file without padding, batch by batch."""
+    ipc = opened(path)
     for i in range(ipc.num_record_batches):
         b = ipc.get_batch(i)
-        ids = b.column(0).flatten().to_numpy()
-        valid = b.column(1).flatten()
-        parts.append(ids if valid.true_count == len(ids) else ids[valid.to_numpy(zero_copy_only=False)])
-    docs = pa.ipc.open_file(fs.open_input_file(name + ".docs")).read_all()
-    ids = parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, np.uint16)
-    return ids, np.stack([docs["start"].to_numpy(), docs["n_tokens"].to_numpy()], 1), docs["doc_id"].to_pylist()
+        ids, valid = b.column(0).flatten().to_numpy(), b.column(1).flatten()
+        yield ids if valid.true_count == len(ids) else ids[valid.to_numpy(zero_copy_only=False)]
+
+
+def read(path: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    """(doc_id, start, ids) of a file's documents in order; one batch and one document are held."""
+    batches, at, here = stream(path), 0, np.empty(0, np.uint16)
+    docs = index(path)
+    for doc_id, start, n in zip(docs["doc_id"].to_pylist(), docs["start"].to_pylist(), docs["n_tokens"].to_pylist()):
+        parts, left = [], n
+        while left:
+            if at == len(here):
+                here, at = next(batches), 0
+            parts.append(here[at : at + left])
+            left -= len(parts[-1])
+            at += len(parts[-1])
+        yield doc_id, start, parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def sequence(path: str, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k-th sequence of a file and its mask; only its pages are touched."""
-    fs, name = file_system(path)
-    ipc = pa.ipc.open_file(pa.memory_map(name + ".ids") if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(name + ".ids"))
+    ipc = opened(path)
     rows = ipc.get_batch(0).num_rows
     b = ipc.get_batch(k // rows)
     return b.column(0)[k % rows].values.to_numpy(), b.column(1)[k % rows].values.to_numpy(zero_copy_only=False)
@@ -216,14 +240,19 @@ def sequence(path: str, k: int) -> tuple[np.ndarray, np.ndarray]:
 def report(files: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
     spark = files.sparkSession
-    spread = files.repartition(shuffle_parts(spark), "part")
+    spread = files.repartition(shuffle_parts(spark), "part", "k")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["doc_id", "start", "n_tokens", "ids_crc32"]
         for b in batches:
             for path, before in zip(b["path"], b["before"]):
-                ids, spans, names = read(path)
-                crc = [zlib.crc32(ids[s : s + n].astype("<u4").tobytes()) for s, n in spans]
-                yield pd.DataFrame({"doc_id": pd.array(names, "Int64"), "start": spans[:, 0] + before, "n_tokens": spans[:, 1], "ids_crc32": np.array(crc, np.int64)})
+                rows = []
+                for doc_id, start, ids in read(path):
+                    rows.append((doc_id, start + before, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    if len(rows) == 10_000:
+                        yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+                        rows = []
+                yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64", "start": "int64", "n_tokens": "int64", "ids_crc32": "int64"})
 
     return spread.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
