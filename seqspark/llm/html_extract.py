@@ -1,15 +1,18 @@
 """Main-text extraction by tree scoring.
 
 A page becomes a light tree. Every paragraph gives points for its length and its commas to its parent, and half of
-them to its grandparent; a container's points are discounted by its link density. The best container is kept, with
-the siblings that score well or read like text; where the best lies in an ``article`` (else ``main``), that element
-is the container. Scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms and comment sections
-are cut from the tree first, by element and by the words of class, id and role.
+them to its grandparent; a container's points are discounted by its link density. The container with most points is the
+start; while the element around it holds clearly more paragraph points, that one takes its place, up to an ``article``, ``main`` or the
+body. The best is kept, with siblings that are text: headings, bare text, and blocks that aren't mostly links.
+Scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms and comment sections are cut from the tree
+first, by element and by the names in class, id and role. A name is judged by its last word (``post-footer`` is a footer), or by a first word that
+qualifies it (``cookie-notice``); names of a state (``with-sidebar``, ``has-comments``) say nothing. Where the names of one element disagree it stays if it holds most of
+the page's text, and a page that names alone would empty is read again without them.
 
 One narrow pass: no shuffle, no state beyond a page.
 
-Edge cases: null and empty pages, and pages without text, give an empty text; broken markup is closed as browsers
-do; an unclosed script or comment ends with the page; repeated rows are handled each by itself; other input columns
+Edge cases: null and empty pages, and pages without text, give an empty text; broken markup is closed much as
+browsers do (a paragraph ends at the next block, a list item at the next one, ``<div/>`` opens a div); an unclosed script or comment ends with the page; repeated rows are handled each by itself; other input columns
 are ignored. Nothing is capped.
 """
 
@@ -38,29 +41,57 @@ BLOCK = frozenset("address article aside blockquote body br center dd details di
 #: An opening tag of the key ends an open element of the set.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCK - {"br", "body", "html"}
-CUT = frozenset("nav footer aside form button dialog menu head".split())
-CUT_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|menu\w*|nav|navbar|navigation|breadcrumbs?|side-?bar|aside|comments?|commentlist|disqus|replies|respond|footer|foot|header|masthead|cookies?|consent|notices?|alert|gdpr|popup|modal|newsletter|subscri\w*|signup|sign-up|login|share|sharing|social|related|recommend\w*|widget|pager|pagination|toolbar|search|skip|outbrain|taboola|contentinfo|complementary)(?:$|[\s_-])",
-    re.I,
-)
-KEEP_WORDS = re.compile(r"(?:^|[\s_-])(?:article\w*|content|entry|main|post|story|text|body|hentry)(?:$|[\s_-])", re.I)
+CUT = frozenset("nav header footer aside form button dialog menu head".split())
+#: Last words of names of what is no part of an article.
+CUT_HEADS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsors promo promos promotion banner menu menus nav navbar navi navigation breadcrumb breadcrumbs sidebar aside comment comments commentlist disqus reply replies respond footer foot header masthead cookie cookies consent notice notices alert alerts gdpr popup modal newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets pager pagination toolbar search outbrain taboola contentinfo complementary".split())
+#: First words that say the same of whatever follows.
+CUT_FIRSTS = frozenset("ad ads advert sponsored sponsor promo cookie cookies consent gdpr newsletter related recommended share social breadcrumb comment comments sidebar footer nav navigation menu popup modal subscribe signup login".split())
+KEEP_HEADS = frozenset("article articles content contents entry main post story text body hentry articlebody".split())
+#: Words that add nothing to the word before them, and those that begin the name of a state.
+VAGUE = frozenset("wrapper wrap container box block section area list inner outer item items bar panel links top bottom left right".split())
+STATES = frozenset("with has no is without not hide show".split())
+NAME = re.compile(r"[a-z]+|[0-9]+", re.I)
+
+
+def named(words: str) -> tuple[bool, bool]:
+    """(names something to be cut, names something to be kept), of the names in class, id and role."""
+    cut = keep = False
+    for token in words.split():
+        parts = [w.lower() for w in NAME.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token))]
+        if parts[-2:] == ["side", "bar"]:
+            cut = True
+            continue
+        while len(parts) > 1 and (parts[-1] in VAGUE or parts[-1].isdigit()):
+            parts.pop()
+        if not parts or parts[0] in STATES:
+            continue
+        if parts[-1] in CUT_HEADS:
+            cut = True
+        elif parts[-1] in KEEP_HEADS and parts[0] not in CUT_FIRSTS:
+            keep = True
+        elif parts[0] in CUT_FIRSTS:
+            cut = True
+    return cut, keep
+
+
 BASE = {"article": 25, "main": 15, "section": 5, "div": 5, "blockquote": 3, "pre": 3, "td": 3, "ul": -3, "ol": -3, "dl": -3, "form": -3, "th": -5}
 LEAST = 25
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "cut", "kept", "points", "chars", "link")
+    __slots__ = ("tag", "parent", "kids", "cut", "kept", "torn", "points", "own", "total", "chars", "link")
 
-    def __init__(self, tag, parent, attrs=""):
-        self.tag, self.parent, self.kids, self.points, self.chars, self.link = tag, parent, [], None, 0, 0
-        self.cut, self.kept = tag in CUT, False
+    def __init__(self, tag, parent, attrs="", by_name=True):
+        self.tag, self.parent, self.kids, self.points, self.own, self.total, self.chars, self.link = tag, parent, [], None, 0.0, 0.0, 0, 0
+        self.cut, self.kept, self.torn = tag in CUT, False, False
         if attrs and not self.cut and tag not in ("html", "body"):
-            words = " ".join(a or b or c for a, b, c in ATTR.findall(attrs))
-            self.kept = bool(words) and KEEP_WORDS.search(words) is not None
-            self.cut = bool(HIDDEN.search(attrs)) or bool(words) and tag not in ("article", "main") and CUT_WORDS.search(words) is not None
+            cut, self.kept = named(" ".join(a or b or c for a, b, c in ATTR.findall(attrs)))
+            cut = cut and by_name and tag not in ("article", "main")
+            self.torn = cut and self.kept
+            self.cut = bool(HIDDEN.search(attrs)) or cut and not self.kept
 
 
-def tree(page: str) -> Node:
+def tree(page: str, by_name: bool = True) -> Node:
     root = at = Node("html", None)
     last = 0
     for m in TOKEN.finditer(page):
@@ -92,14 +123,9 @@ def tree(page: str) -> Node:
                 up = up.parent
         if name in ("html", "body") and name == "html":
             continue
-        node = Node(name, at, m[4])
-        if name == "header":
-            up = at
-            while up is not None and up.tag not in ("article", "main"):
-                up = up.parent
-            node.cut = node.cut or up is None
+        node = Node(name, at, m[4], by_name)
         at.kids.append(node)
-        if name not in VOID and not m[4].endswith("/"):
+        if name not in VOID:
             at = node
     if last < len(page):
         at.kids.append(page[last:])
@@ -147,6 +173,11 @@ def score(root: Node) -> list[Node]:
                     box.points = BASE.get(box.tag, 0) + 25 * box.kept
                     containers.append(box)
                 box.points += points * share
+        node.own = points
+    for node in reversed(nodes):
+        node.total += node.own
+        if node.parent is not None:
+            node.parent.total += node.total
     for box in containers:
         box.points *= 1 - min(1.0, box.link / max(1, box.chars))
     return containers
@@ -166,30 +197,52 @@ def blocks(node: Node, out: list[str]) -> None:
             todo.extend(reversed(k.kids))
 
 
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: An element takes the place of its best child if it holds so many times the child's paragraph points.
+CLIMB = 1.05
+LINK_BLOCKS = frozenset("div section ul ol dl table center".split())
+
+
+def belongs(k) -> bool:
+    """Whether something beside the best container is text: bare text, a heading, or a block that isn't mostly links."""
+    return type(k) is str or not k.cut and (k.tag in HEADINGS or k.link < 0.5 * max(1, k.chars))
+
+
 def main_text(page: str | None) -> str:
+    """The text of a page's best container and what belongs to it."""
     if not page:
         return ""
-    root = tree(page)
+    return text_of(tree(page)) or text_of(tree(page, False))
+
+
+def text_of(root: Node) -> str:
     containers = score(root)
+    if torn := [n for n in walk(root) if n.torn and n.total < 0.5 * root.total]:
+        for n in torn:
+            n.cut = True
+        for n in walk(root):
+            n.points, n.own, n.total, n.chars, n.link = None, 0.0, 0.0, 0, 0
+        containers = score(root)
     if containers:
-        best = max(containers, key=lambda b: b.points)
-        for tag in ("article", "main"):
-            up = best
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None:
+        start = best = max(containers, key=lambda b: b.points)
+        up = best
+        while up.tag not in ("article", "main", "body") and up.parent is not None:
+            up = up.parent
+            if up.total >= CLIMB * best.total and up.tag not in ("body", "html"):
                 best = up
-                break
-        least = max(10, 0.2 * (best.points or 0))
-        around = [best]
-        if best.parent is not None and best.tag not in ("article", "main", "body"):
-            around = []
-            for k in best.parent.kids:
-                # headings, and all that isn't cut and isn't mostly links, belong to it, whatever their points
-                if type(k) is str or k is best or not k.cut and (k.tag in ("h1", "h2", "h3", "h4", "h5", "h6") or k.link < 0.5 * max(1, k.chars)):
-                    around.append(k)
-        elif best.tag == "article" and best.parent is not None:
+        # blocks of links beside the start, on the way up, aren't text
+        while start is not best:
+            start = start.parent
+            for k in start.kids if start.tag not in ("article", "main") else ():
+                if type(k) is Node and k.tag in LINK_BLOCKS and not belongs(k):
+                    k.cut = True
+        if best.parent is None or best.tag in ("main", "body"):
+            around = [best]
+        elif best.tag == "article":
+            least = max(10, 0.2 * (best.points or 0))
             around = [k for k in best.parent.kids if k is best or type(k) is Node and k.tag == "article" and not k.cut and (k.points or 0) >= least]
+        else:
+            around = [k for k in best.parent.kids if k is best or belongs(k)]
     else:
         around = [next((n for n in walk(root) if n.tag == t), None) for t in ("article", "main", "body")]
         around = [next((n for n in around if n is not None), root)]
