@@ -68,11 +68,6 @@ def load(path: str | None = None) -> np.ndarray:
         return parse(f.read())
 
 
-def simple(match: int, mismatch: int, letters: str = "ACGT") -> np.ndarray:
-    """Nucleotide scores in the order of letters."""
-    return np.where(np.eye(len(letters), dtype=bool), match, mismatch)
-
-
 def encode(residues: str) -> np.ndarray:
     at = {c: i for i, c in enumerate(PROTEIN)}
     return np.array([at.get(c, UNKNOWN) for c in residues.upper()], np.int64)

@@ -6,6 +6,8 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from .alphabet import LETTERS, PROTEIN
 from .matrices import BACKGROUND
@@ -155,3 +157,33 @@ def evalue_text(e: float) -> str:
         if e < limit:
             return form if "%" not in form else form % e
     return "%5.0f" % e
+
+
+def bits(score: Column, scale: float = 1.0, g: Gapped = DEFAULT) -> Column:
+    """``bit_score`` as an expression."""
+    whole = F.floor(F.abs(score) / scale + 0.5) * F.signum(score.cast("double"))
+    return (whole * g.lam - g.log_k) / LN2
+
+
+def nominal(bit: Column, g: Gapped = DEFAULT) -> Column:
+    """The least whole score that reaches so many bits."""
+    return F.ceil((bit * LN2 + g.log_k) / g.lam - 1e-9)
+
+
+def simple_evalue(bit: Column, space: Column) -> Column:
+    """Expected hits of so many bits in a search space, without corrections for finite sizes."""
+    return space / F.pow(F.lit(2.0), bit)
+
+
+def search_space(m: Column, letters: Column, count: Column, adjustment: Column) -> Column:
+    """Effective letters of a query times those of a collection of count sequences."""
+    return (m - adjustment) * (letters - count * adjustment)
+
+
+def evalue_string(e: Column) -> Column:
+    """``evalue_text`` as an expression."""
+    forms = [(1e-180, None), (1e-99, "%2.0e"), (9e-4, "%3.0e"), (0.1, "%4.3f"), (1.0, "%3.2f"), (10.0, "%2.1f")]
+    out = F.when(e < forms[0][0], "0.0")
+    for limit, form in forms[1:]:
+        out = out.when(e < limit, F.format_string(form, e))
+    return out.otherwise(F.format_string("%5.0f", e))

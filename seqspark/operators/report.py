@@ -22,9 +22,26 @@ def padded(description: Column, width: int = 66) -> Column:
     return F.when(F.length(description) > width, F.concat(F.substring(description, 1, width - 3), F.lit("..."))).otherwise(F.rpad(description, width, " "))
 
 
-def evalue_text(e: Column) -> Column:
-    out = F.pandas_udf(lambda s: s.map(statistics.evalue_text), "string")
-    return out(e)
+def grouped(n: Column) -> Column:
+    """A count with commas between thousands, from 10,000 on."""
+    return F.when(n >= 10_000, F.format_number(n, 0)).otherwise(n.cast("string"))
+
+
+def escaped(text: Column) -> Column:
+    """< and > for XML."""
+    return F.replace(F.replace(text, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def summary_line(description: Column, bits: Column, evalue: Column) -> Column:
+    """One line of a hit list: description, bits (whole from 100 on), e-value."""
+    shown = F.when(bits >= 100, F.floor(bits).cast("string")).otherwise(F.format_string("%.1f", bits))
+    return F.concat(F.lit("  "), padded(description), F.lit("  "), shown, F.lit("  "), statistics.evalue_string(evalue))
+
+
+def listed(pairs: DataFrame, lines: int = 500, details: int = 250) -> DataFrame:
+    """Ranked pairs (query_id, rank) that a report names, and whether it shows their alignments; details = 0 shows all, lines are at least details."""
+    most = max(lines, details)
+    return pairs.where(F.col("rank") <= most).withColumn("detailed", F.lit(True) if details == 0 else F.col("rank") <= details)
 
 
 def visible(alignments: DataFrame, near: int = 3) -> DataFrame:
@@ -53,7 +70,7 @@ def tabular(alignments: DataFrame, queries: DataFrame, subjects: DataFrame) -> D
     s = subjects.select("seq_id", first_word(F.col("description")).alias("subject"))
     df = alignments.join(q, "query_id").join(s, "seq_id")
     pid = F.round(F.col("identities") * 100 / F.col("length"), 2)
-    return df.select("query", "subject", pid.alias("percent_identity"), "length", (F.col("length") - F.col("identities") - F.col("gaps")).alias("mismatches"), "gap_opens", (F.col("q_start") + 1).alias("q_start"), "q_end", (F.col("s_start") + 1).alias("s_start"), "s_end", evalue_text(F.col("evalue")).alias("evalue"), F.round("bits", 1).alias("bits"))
+    return df.select("query", "subject", pid.alias("percent_identity"), "length", (F.col("length") - F.col("identities") - F.col("gaps")).alias("mismatches"), "gap_opens", (F.col("q_start") + 1).alias("q_start"), "q_end", (F.col("s_start") + 1).alias("s_start"), "s_end", statistics.evalue_string(F.col("evalue")).alias("evalue"), F.round("bits", 1).alias("bits"))
 
 
 def write_tabular(rows: DataFrame, path: str) -> None:

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import complexity, composition, kernels, matrices, statistics
-from . import words
+from ..sources import fasta
+from . import collection, words
 
 HSP = "query_id long, seq_id long, q_start int, q_end int, s_start int, s_end int, q_gap int, s_gap int, score int, evalue double, q_len int, s_len int"
 FINAL = "query_id long, seq_id long, q_start int, q_end int, s_start int, s_end int, score int, bits double, evalue double, identities int, positives int, gaps int, gap_opens int, length int, edits string, rule string"
@@ -228,6 +229,20 @@ class Engine:
     def __init__(self, spark: SparkSession, params: Params | None = None):
         self.spark, self.p = spark, params or Params()
 
+    def load_fasta(self, path: str, collection_path: str | None = None) -> DataFrame:
+        """The sequences of FASTA text, as a collection; written to collection_path and read from there if it is given."""
+        seqs = fasta.read(self.spark, path).withColumn("length", F.length("residues").cast("long"))
+        if collection_path is None:
+            return seqs
+        collection.write(seqs, collection_path)
+        return collection.read(self.spark, collection_path)
+
+    def build_index(self, subjects: DataFrame, path: str, exact: bool = False) -> DataFrame:
+        """Writes the words of subjects in word order and returns them as read again, for ``search(index=...)``."""
+        w = self.p.word
+        words.write_index(words.kmers(subjects, w) if exact else words.code_words(subjects, w), path)
+        return words.read_index(self.spark, path)
+
     def triggers(self, queries: DataFrame, subjects: DataFrame, exact: bool = False, index: DataFrame | None = None) -> DataFrame:
         w = self.p.word
         make = (lambda d: words.code_words(d, w)) if not exact else (lambda d: words.kmers(d, w))

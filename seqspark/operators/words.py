@@ -27,7 +27,8 @@ def code_words(seqs: DataFrame, w: int = 3) -> DataFrame:
 
 def postings(words: DataFrame) -> DataFrame:
     """Per word: number of places and of sequences. The exploded, word-ordered table itself is the index."""
-    return words.groupBy("word").agg(F.count("*").alias("n_places"), F.count_distinct("seq_id").alias("n_sequences"))
+    each = words.groupBy("word", "seq_id").agg(F.count("*").alias("n"))
+    return each.groupBy("word").agg(F.sum("n").alias("n_places"), F.count("*").alias("n_sequences"))
 
 
 def write_index(words: DataFrame, path: str, buckets: int = 64) -> None:
@@ -35,6 +36,17 @@ def write_index(words: DataFrame, path: str, buckets: int = 64) -> None:
     words.repartitionByRange(buckets, "word").sortWithinPartitions("word", "seq_id", "off").write.parquet(path)
 
 
+def read_index(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
+    """word, seq_id, off of a stored index; of the wanted words only, whose least and greatest prune row groups."""
+    index = spark.read.parquet(path)
+    if wanted is None:
+        return index
+    ends = wanted.agg(F.min("word").alias("lo"), F.max("word").alias("hi")).first()
+    if ends["lo"] is None:
+        return index.limit(0)
+    return index.where(F.col("word").between(ends["lo"], ends["hi"])).join(wanted.select("word").distinct(), "word", "left_semi")
+
+
 def similar_words(spark: SparkSession, threshold: int = 11, matrix=None) -> DataFrame:
     """word, nbr, score of all pairs of 3-letter words whose letters score threshold or more, and each word with itself.
 

@@ -222,3 +222,53 @@ def test_smith_waterman_over_documents(spark, tmp_path):
     rows = catalogue.queries()["smith_waterman_documents"](spark, str(tmp_path)).collect()
     best = max(rows, key=lambda r: r["score"])
     assert len(rows) == 4 and (best["query_id"], best["seq_id"]) == (7, 2)
+
+
+def test_load_index_search_and_stream(spark, tmp_path):
+    from seqspark.streaming import queries as stream
+
+    random.seed(11)
+    subjects = [(i, f"s{i}", "".join(random.choice(USUAL) for _ in range(120))) for i in range(6)]
+    fa = tmp_path / "db.fa"
+    fa.write_text("".join(f">{d}\n{r}\n" for _, d, r in subjects))
+    engine = search.Engine(spark)
+    loaded = engine.load_fasta(str(fa), str(tmp_path / "db"))
+    assert loaded.count() == 6 and {r["description"] for r in loaded.collect()} == {d for _, d, _ in subjects}
+    q = seqs(spark, [(50, "q0", subjects[2][2][10:90]), (51, "q1", subjects[4][2])])
+    index = engine.build_index(loaded, str(tmp_path / "index"))
+    name = {r["seq_id"]: r["description"] for r in loaded.collect()}
+    direct = {(r["query_id"], name[r["seq_id"]], r["score"]) for r in engine.search(q, loaded).collect()}
+    stored = {(r["query_id"], name[r["seq_id"]], r["score"]) for r in engine.search(q, loaded, index=index).collect()}
+    assert direct == stored and {(50, "s2"), (51, "s4")} <= {x[:2] for x in stored}
+    q.select("seq_id", "residues", "length").write.parquet(str(tmp_path / "in"))
+    arriving = spark.readStream.schema("seq_id long, residues string, length long").parquet(str(tmp_path / "in"))
+    stream.search_stream(engine, arriving, loaded, str(tmp_path / "out"), str(tmp_path / "ck"), index).awaitTermination(180)
+    assert {(r["query_id"], name[r["seq_id"]], r["score"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == direct
+
+
+def test_blocks_follow_the_greedy_rule(spark):
+    random.seed(3)
+    lengths = [random.choice([0, 1, 5, 7, 30, 99, 100, 250]) for _ in range(300)]
+    df = spark.createDataFrame([(i, "A" * n) for i, n in enumerate(lengths)], "seq_id long, residues string").withColumn("length", F.length("residues").cast("long"))
+    want, at = [], [0, 0]
+    for n in sorted(lengths):
+        if at[0] and (at[1] + n >= 100 or at[0] >= 20):
+            want.append(tuple(at))
+            at = [0, 0]
+        at = [at[0] + 1, at[1] + n]
+    got = collection.blocks(df, 100, 20).orderBy("block").collect()
+    assert [(r["n_sequences"], r["n_letters"]) for r in got] == [*want, tuple(at)]
+    assert collection.blocks(df.limit(0)).count() == 0
+
+
+def test_limits_and_printing(spark):
+    from seqspark.functions import statistics
+
+    values = [0.0, 1e-200, 3.3e-150, 2.2e-50, 4e-4, 0.0321, 0.456, 5.678, 123.4]
+    df = spark.createDataFrame([(v,) for v in values], "e double")
+    assert [r[0] for r in df.select(statistics.evalue_string(F.col("e"))).collect()] == [statistics.evalue_text(v) for v in values]
+    ranks = spark.createDataFrame([(1, k) for k in range(1, 9)], "query_id long, rank int")
+    assert [(r["rank"], r["detailed"]) for r in report.listed(ranks, 2, 4).orderBy("rank").collect()] == [(k, True) for k in range(1, 5)]
+    assert report.listed(ranks, 3, 0).where("detailed").count() == 3
+    assert [r[0] for r in spark.createDataFrame([(9999,), (10000,), (1234567,)], "n long").select(report.grouped(F.col("n"))).collect()] == ["9999", "10,000", "1,234,567"]
+    assert [statistics.bit_score(s) for s in (1600, 1935, 1936)] == [r[0] for r in spark.createDataFrame([(1600,), (1935,), (1936,)], "s long").select(statistics.bits(F.col("s"), 32.0)).collect()]
