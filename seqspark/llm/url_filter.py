@@ -39,7 +39,6 @@ BLOCKED_TOPICS = [
     ("warez-crack", "keygen/download"), ("torrent-movies", "free-download/crack"), ("login-verify", "account/secure/update"), ("secure-paypa1", "login/verify-account"),
     ("replica-watches", "cheap/buy"), ("payday-loans", "fast-cash/apply"), ("betting-odds", "sports/bet/bonus"), ("slots-jackpot", "casino/spin"),
     ("hot-singles", "dating/adult"), ("porn-tube", "xxx/porn/videos"), ("click-tracker", "ads/redirect"), ("free-gift", "claim/prize/win"),
-    ("ad-server", "track/pixel"), ("link-spam", "farm/links"),
 ]
 ALLOWED_TOPICS = [
     ("history-museum", "rome.html"), ("library", "catalog/books"), ("daily-news", "2024/politics"), ("university", "research/paper"),
@@ -47,7 +46,6 @@ ALLOWED_TOPICS = [
     ("code-docs", "guide/install.html"), ("wiki", "wiki/History"), ("garden", "plants/rose"), ("health", "ratgeber/12"),
     ("forum", "thread/991"), ("blog", "article/42"), ("city-council", "services/waste"), ("music-school", "courses/piano"),
     ("football-club", "results/season"), ("book-store", "novels/classics"), ("open-data", "tables/8000"), ("gallery", "collection/7"),
-    ("town-hall", "forms/opening"), ("film-review", "drama/1990"),
 ]
 #: Sites whose pages are of both kinds, and endings that hosts of both kinds have.
 SITES = ("www.example.com", "blog.example.org", "m.example.com", "pages.test", "home.biz")
