@@ -41,6 +41,7 @@ CACHE = 500_000
 #: Words of up to so many characters keep their paths in the cache.
 KEPT = 64
 BLANK = "\u2581"
+KEY = 5
 NEG = -np.inf
 START = (0, -1)
 
@@ -63,16 +64,16 @@ class Model:
         self.bytes = {i: bytes([int(self.text[i][3:5], 16)]) for i in range(n) if self.sp.is_byte(i)}
         self.byte_id = {v[0]: k for k, v in self.bytes.items()}
         self.fit: dict[tuple[str, str], bool] = {}
-        self.own: dict[str, bool] = {}
         self.id_bytes = {t: np.array([i], np.int32).tobytes() for t, i in self.id.items()}
         self.shown = [self.bytes[i] if i in self.bytes else t.replace(BLANK, " ").encode("utf-8") for i, t in enumerate(self.text)]
-        # lengths of the pieces that begin with three (or two) given characters, longest first
+        self.whole = {t for t in self.id if self.merge(t) == [t]}
+        # by a beginning of up to KEY characters: the lengths of pieces that begin so, or are beginnings of it, longest first
         self.begins: dict[str, list[int]] = {}
-        for t in sorted(self.id, key=len, reverse=True):
-            if len(t) > 1 and len(t) not in (known := self.begins.setdefault(t[:3], [])):
+        for t in sorted(self.whole, key=len, reverse=True):
+            if len(t) > 1 and len(t) not in (known := self.begins.setdefault(t[:KEY], [])):
                 known.append(len(t))
         for t, known in self.begins.items():
-            known.extend([2, 1] if len(t) == 3 and t[:2] in self.id else [1])
+            known.extend(n for n in range(min(len(t), known[-1]) - 1, 0, -1) if n == 1 or t[:n] in self.whole)
         self.words: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -89,18 +90,9 @@ class Model:
                 joined[i] = score(s[i] + s[i + 1], NEG)
         return s
 
-    def whole(self, t: str) -> bool:
-        """Whether t is a piece that its own text gives."""
-        ok = self.own.get(t)
-        if ok is None:
-            ok = t in self.id and self.merge(t) == [t]
-            if t in self.id:
-                self.own[t] = ok
-        return ok
-
     def pieces_at(self, s: str, i: int) -> list[str]:
         """Pieces that may begin at s[i]; a single character always may."""
-        return [s[i]] + [s[i : i + n] for n in range(2, min(self.longest, len(s) - i) + 1) if self.whole(s[i : i + n])]
+        return [s[i]] + [s[i : i + n] for n in range(2, min(self.longest, len(s) - i) + 1) if s[i : i + n] in self.whole]
 
     def compatible(self, a: str, b: str) -> bool:
         if b[0] == BLANK and a[-1] != BLANK:
@@ -120,23 +112,25 @@ class Model:
         """The piece's ids as 32-bit numbers."""
         return self.id_bytes.get(piece) or np.array(self.ids(piece), np.int32).tobytes()
 
-    def lengths(self, s: str, i: int) -> list[int]:
-        """Lengths that pieces beginning at s[i] can have, longest first."""
-        return self.begins.get(s[i : i + 3]) or self.begins.get(s[i : i + 2]) or [1]
+    def lengths(self, key: str) -> list[int]:
+        """Lengths that pieces beginning with key, or inside it, can have, longest first; kept within the cache's bound."""
+        known = next((self.begins[key[:n]] for n in range(len(key), 1, -1) if key[:n] in self.begins), [1])
+        if len(self.begins) < CACHE:
+            self.begins[key] = known
+        return known
 
     def word(self, w: str) -> bytes:
         """Ids, as 32-bit numbers, of a word's one path: states in depth, each place entered once, so that the work is linear."""
-        usual, fit, size = self.id, self.fit, len(w)
-        path, dead, at, last = [], set(), 0, ""
-        left = [iter(self.lengths(w, 0))]
+        whole, fit, begins, size = self.whole, self.fit, self.begins, len(w)
+        path, left, dead, at, last = [], [], set(), 0, ""
         while at < size:
+            if len(left) == len(path):
+                key = w[at : at + KEY]
+                left.append(iter(begins.get(key) or self.lengths(key)))
             for n in left[-1]:
                 end = at + n
-                if end > size or end in dead or (n > 1 and (q := w[at:end]) not in usual):
-                    continue
-                if n == 1:
-                    q = w[at]
-                elif not self.whole(q):
+                q = w[at:end]
+                if end > size or end in dead or (n > 1 and q not in whole):
                     continue
                 ok = fit.get((last, q)) if last else True
                 if ok is None:
@@ -144,7 +138,6 @@ class Model:
                 if ok:
                     path.append(q)
                     at, last = end, q
-                    left.append(iter(self.lengths(w, at)))
                     break
             else:
                 dead.add(at)
