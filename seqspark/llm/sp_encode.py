@@ -43,6 +43,7 @@ KEPT = 64
 BLANK = "\u2581"
 KEY = 5
 NEG = -np.inf
+EMPTY: dict = {}
 START = (0, -1)
 
 
@@ -63,7 +64,8 @@ class Model:
             raise ValueError("pieces of this model cross word beginnings")
         self.bytes = {i: bytes([int(self.text[i][3:5], 16)]) for i in range(n) if self.sp.is_byte(i)}
         self.byte_id = {v[0]: k for k, v in self.bytes.items()}
-        self.fit: dict[tuple[str, str], bool] = {}
+        self.fit: dict[str, dict[str, bool]] = {}
+        self.pairs = 0
         self.id_bytes = {t: np.array([i], np.int32).tobytes() for t, i in self.id.items()}
         self.shown = [self.bytes[i] if i in self.bytes else t.replace(BLANK, " ").encode("utf-8") for i, t in enumerate(self.text)]
         self.whole = {t for t in self.id if self.merge(t) == [t]}
@@ -97,11 +99,14 @@ class Model:
     def compatible(self, a: str, b: str) -> bool:
         if b[0] == BLANK and a[-1] != BLANK:
             return True
-        ok = self.fit.get((a, b))
+        row = self.fit.get(a)
+        ok = row.get(b) if row else None
         if ok is None:
-            if len(self.fit) > CACHE:
+            if self.pairs > CACHE:
                 self.fit.clear()
-            ok = self.fit[a, b] = self.merge(a + b) == [a, b]
+                self.pairs = 0
+            ok = self.fit.setdefault(a, {})[b] = self.merge(a + b) == [a, b]
+            self.pairs += 1
         return ok
 
     def ids(self, piece: str) -> list[int]:
@@ -127,12 +132,15 @@ class Model:
             if len(left) == len(path):
                 key = w[at : at + KEY]
                 left.append(iter(begins.get(key) or self.lengths(key)))
+            row = fit.get(last, EMPTY)
             for n in left[-1]:
                 end = at + n
+                if end > size or end in dead:
+                    continue
                 q = w[at:end]
-                if end > size or end in dead or (n > 1 and q not in whole):
+                if n > KEY and q not in whole:
                     continue
-                ok = fit.get((last, q)) if last else True
+                ok = row.get(q) if last else True
                 if ok is None:
                     ok = self.compatible(last, q)
                 if ok:
@@ -144,7 +152,8 @@ class Model:
                 left.pop()
                 at -= len(path.pop())
                 last = path[-1] if path else ""
-        return b"".join(map(self.bytes_of, path))
+        usual = self.id_bytes
+        return b"".join([usual.get(q) or self.bytes_of(q) for q in path])
 
     def word_ids(self, words: list[str]) -> bytes:
         """Ids, as 32-bit numbers, of runs that begin with a blank and have blanks only at their beginning."""
