@@ -116,7 +116,8 @@ def two_hit_top(spark, d):
 
 def hsp_purge(spark, d):
     """Runs of seeds as alignments, purged of common ends."""
-    runs = words.one_hits(_seeds(spark, d), W)
+    # dealt by pair once: runs and both purges are within a pair, so nothing is shuffled again
+    runs = words.one_hits(_seeds(spark, d).repartition("query_id", "seq_id"), W)
     hsps = runs.select("query_id", "seq_id", "q_start", "q_end", "s_start", (F.col("s_start") + F.col("q_end") - F.col("q_start")).alias("s_end"), (F.col("q_end") - F.col("q_start")).alias("score"))
     return report.purge_common_ends(hsps)
 

@@ -75,3 +75,11 @@ def test_codes(spark):
     assert [x[0] for x in df.select(alphabet.alphabet(F.col("r"))).collect()] == ["nucleotide", "protein", "protein", "protein"]
     w = df.sparkSession.createDataFrame([("LAG",), ("AAA",), ("MKV",), ("ACD",), ("AC",)], "r string")
     assert [x[0] for x in w.select(alphabet.word_codes(alphabet.codes(F.col("r")))).collect()] == [[26], [601], [9388], [1016], []]
+
+
+def test_search_space_beyond_int(spark):
+    s = spark.createDataFrame([(302,)], "score int")
+    space = statistics.search_space(F.col("score"), F.lit(60_000_000), F.lit(50_000), F.lit(2))
+    assert s.select(space.alias("space")).first()["space"] == 300 * 59_900_000
+    whole = statistics.search_space(F.col("score"), F.lit(2_000_000_000), F.lit(1_500_000_000), F.lit(2))
+    assert s.select(whole.alias("space")).first()["space"] == 300 * -1_000_000_000

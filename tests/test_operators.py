@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from seqspark.operators import collection, redundancy, report, search, words
+from seqspark.plans import catalogue
 from seqspark.sources import fasta
 
 USUAL = "ARNDCQEGHILKMFPSTWYV"
@@ -272,3 +273,13 @@ def test_limits_and_printing(spark):
     assert report.listed(ranks, 3, 0).where("detailed").count() == 3
     assert [r[0] for r in spark.createDataFrame([(9999,), (10000,), (1234567,)], "n long").select(report.grouped(F.col("n"))).collect()] == ["9999", "10,000", "1,234,567"]
     assert [statistics.bit_score(s) for s in (1600, 1935, 1936)] == [r[0] for r in spark.createDataFrame([(1600,), (1935,), (1936,)], "s long").select(statistics.bits(F.col("s"), 32.0)).collect()]
+
+
+def test_purged_runs_are_shuffled_once(spark, tmp_path):
+    text = "the quick brown fox jumps over the lazy dog and sleeps all day long"
+    spark.createDataFrame([(1, text), (2, text[10:50])], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, text)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = catalogue.hsp_purge(spark, str(tmp_path))
+    assert found.count() >= 2
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning(query_id") == 1
