@@ -116,11 +116,6 @@ def one_hits(seeds: DataFrame, w: int) -> DataFrame:
     return df.groupBy("query_id", "seq_id", "diag", "run").agg(F.min("q_off").alias("q_start"), (F.max("q_off") + w).alias("q_end"), F.min("s_off").alias("s_start")).drop("run")
 
 
-def repeated_words(seqs: DataFrame, w: int = 30) -> DataFrame:
-    """word_hash-free, exact: words that occur twice or more, with their number."""
-    return kmers(seqs, w).groupBy("word").agg(F.count("*").alias("n")).where("n >= 2")
-
-
 def winnowed(seqs: DataFrame, w: int = 12, window: int = 8) -> DataFrame:
     """seq_id, off, h: the rightmost least word hash of each window of words, once."""
     from pyspark.sql import Window

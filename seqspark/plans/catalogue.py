@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import alphabet, complexity, matrices, nucleotides, statistics
-from ..operators import collection, redundancy, report, search, words
+from ..operators import collection, redundancy, repeats, report, search, words
 from ..storage import new_path
 
 W, WINDOW, OVERLAP = 8, 40, 3
@@ -177,7 +177,7 @@ def smith_waterman_documents(spark, d):
 
 
 def spex_words(spark, d):
-    return words.repeated_words(_docs(spark, d), 30).groupBy("n").agg(F.count("*").alias("n_words"))
+    return repeats.repeat_counts(_docs(spark, d), 30)
 
 
 def shared_word_pairs(spark, d):

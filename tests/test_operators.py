@@ -1,8 +1,10 @@
 import random
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from seqspark.operators import collection, redundancy, report, search, words
+from seqspark.operators import collection, redundancy, repeats, report, search, words
 from seqspark.plans import catalogue
 from seqspark.sources import fasta
 
@@ -283,3 +285,34 @@ def test_purged_runs_are_shuffled_once(spark, tmp_path):
     assert found.count() >= 2
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Exchange hashpartitioning(query_id") == 1
+
+
+def test_repeated_words_are_exact_and_small_to_shuffle(spark):
+    random.seed(9)
+    base = "".join(random.choice(USUAL) for _ in range(3000))
+    texts = [base[i : i + random.randrange(400)] for i in range(0, 3000, 25)] + ["A" * 700, "", "b" * 29, "B" * 30, "AB" * 400, base * 3]
+    want = Counter(t.upper()[i : i + 30] for t in texts for i in range(len(t) - 29))
+    s = seqs(spark, [(i, "", t) for i, t in enumerate(texts)])
+    assert {r["word"]: r["n"] for r in repeats.repeated_words(s).collect()} == {k: n for k, n in want.items() if n > 1}
+    assert {r["n"]: r["n_words"] for r in repeats.repeat_counts(s).collect()} == Counter(n for n in want.values() if n > 1)
+    # before, each word was a row of 30 letters and more
+    sent = repeats._bucketed(s, 30).agg(F.sum(F.length("lengths") + F.length("letters"))).first()[0]
+    assert sent < 4 * sum(map(len, texts))
+    assert repeats.repeat_counts(s.limit(0)).count() == 0
+
+
+def test_repeated_words_of_equal_hashes_and_in_passes():
+    random.seed(2)
+    base = "".join(random.choice("ABC") for _ in range(300))
+    texts = [base[random.randrange(200) :][: random.randrange(150)] for _ in range(40)] + ["A" * 500]
+    for w in (5, 30):
+        want = Counter(t[i : i + w] for t in texts for i in range(len(t) - w + 1))
+        for options in ({}, {"base": 0}, {"most": 64}, {"base": 2, "most": 64}):
+            got, held = Counter(), {}
+            for a in repeats.joined(iter(texts), w):
+                for b, n, t in repeats.pieces(a, w, 5):
+                    held.setdefault(b, []).append((n, t))
+            for x in held.values():
+                for found, n in repeats.repeated(np.concatenate([t for _, t in x]), np.concatenate([n for n, _ in x]), w, **options):
+                    got.update(dict(zip((f.decode() for f in found), n.tolist())))
+            assert got == {k: n for k, n in want.items() if n > 1}
