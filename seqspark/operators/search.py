@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import complexity, composition, kernels, matrices, statistics
 from ..sources import fasta
+from ..storage import cut
 from . import collection, words
 
 HSP = "query_id long, seq_id long, q_start int, q_end int, s_start int, s_end int, q_gap int, s_gap int, score int, evalue double, q_len int, s_len int"
@@ -250,8 +251,9 @@ class Engine:
         seeds = words.seed_join(make(queries), index if index is not None else make(subjects), queries, w, near)
         return words.two_hits(seeds, self.p.window, self.p.overlap)
 
-    def prelim(self, queries: DataFrame, subjects: DataFrame, index: DataFrame | None = None, exact: bool = False) -> tuple[DataFrame, int]:
-        letters = int(subjects.agg(F.sum("length")).first()[0] or 0)
+    def prelim(self, queries: DataFrame, subjects: DataFrame, index: DataFrame | None = None, exact: bool = False, letters: int | None = None) -> tuple[DataFrame, int]:
+        """letters: those of the whole collection, if subjects are not all of it."""
+        letters = int(subjects.agg(F.sum("length")).first()[0] or 0) if letters is None else letters
         hits = self.triggers(queries, subjects, exact, index).groupBy("query_id", "seq_id").agg(F.collect_list(F.struct("diag", "q_off", "distance")).alias("hits"))
         pairs = hits.join(queries.select(F.col("seq_id").alias("query_id"), F.col("residues").alias("q")), "query_id").join(subjects.select("seq_id", F.col("residues").alias("s")), "seq_id")
         return prelim(pairs, letters, self.p), letters
@@ -262,6 +264,25 @@ class Engine:
         top = best_pairs(hsps, 2 * self.p.max_hits + 50)
         return ranked(finish(top, queries, subjects, letters, self.p), self.p.max_hits)
 
+    def search_merged(self, queries: DataFrame, subjects: DataFrame, exact: bool = False) -> DataFrame:
+        """The result of ``search``, each text searched once however many subjects have it.
+
+        A text stands under its least id. Of the pairs kept for a query only a text's first ids can be, and only texts that are themselves
+        among as many by their least id; e-values are those of the whole collection.
+        """
+        keep = 2 * self.p.max_hits + 50
+        letters = int(subjects.agg(F.sum("length")).first()[0] or 0)
+        texts = cut(subjects.groupBy("residues").agg(F.min("seq_id").alias("seq_id"), F.first("length").alias("length")), "texts")
+        top = cut(best_pairs(self.prelim(queries, texts, None, exact, letters)[0], keep), "top")
+        copy = subjects.select("seq_id", "residues").withColumn("r", F.row_number().over(Window.partitionBy("residues").orderBy("seq_id"))).where(F.col("r") <= keep).drop("r")
+        found = texts.select(F.col("seq_id").alias("text_id"), "residues").join(top.select(F.col("seq_id").alias("text_id")).distinct(), "text_id")
+        pair = top.groupBy("query_id", F.col("seq_id").alias("text_id")).agg(F.min("evalue").alias("best"), F.first("s_len").alias("n"))
+        each = pair.join(copy.join(found, "residues").select("text_id", "seq_id"), "text_id")
+        each = each.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("best", "n", "seq_id"))).where(F.col("r") <= keep).select("query_id", "text_id", "seq_id")
+        final = finish(top, queries, texts, letters, self.p).withColumnRenamed("seq_id", "text_id")
+        final = final.join(each, ["query_id", "text_id"]).drop("text_id")
+        return ranked(final.select("query_id", "seq_id", *[c for c in final.columns if c not in ("query_id", "seq_id")]), self.p.max_hits)
+
     def exhaustive(self, queries: DataFrame, subjects: DataFrame) -> DataFrame:
         """Every query (a stated set) against all subjects by Smith-Waterman: query_id, seq_id, score, ends, evalue."""
         letters = int(subjects.agg(F.sum("length")).first()[0] or 0)

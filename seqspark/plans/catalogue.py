@@ -193,9 +193,9 @@ def nr_representatives(spark, d):
 
 
 def search_parts(spark, d):
-    """The whole search with protein defaults: items against part names."""
+    """The whole search with protein defaults: items against part names, few of which differ."""
     items, parts = _items(spark, d), _parts(spark, d)
-    return search.Engine(spark).search(items, parts).select("query_id", "seq_id", "q_start", "q_end", "s_start", "s_end", "score", "identities", "length", "rank")
+    return search.Engine(spark).search_merged(items, parts).select("query_id", "seq_id", "q_start", "q_end", "s_start", "s_end", "score", "identities", "length", "rank")
 
 
 def search_documents(spark, d):

@@ -316,3 +316,28 @@ def test_repeated_words_of_equal_hashes_and_in_passes():
                 for found, n in repeats.repeated(np.concatenate([t for _, t in x]), np.concatenate([n for n, _ in x]), w, **options):
                     got.update(dict(zip((f.decode() for f in found), n.tolist())))
             assert got == {k: n for k, n in want.items() if n > 1}
+
+
+def test_search_of_copies_equals_the_search_of_all(spark):
+    random.seed(4)
+    a = [random.choice(USUAL) for _ in range(60)]
+    texts = ["".join(a), "".join(a[:40] + a[:20]), "".join(a[20:] + a[:20]), "".join(random.choice(USUAL) for _ in range(60)), "".join(a[:60])[:58] + "WW", ""]
+    ids = random.sample(range(1000), 120)
+    subjects = seqs(spark, [(i, "", texts[k % 4 if k < 100 else k % 6]) for k, i in enumerate(ids)])
+    queries = seqs(spark, [(1, "", "".join(a)), (2, "", texts[3]), (3, "", "".join(a[:45]))])
+    for hits in (500, 8):  # 66 pairs are kept before traceback, then 8
+        engine = search.Engine(spark, search.Params(max_hits=hits))
+        whole = engine.search(queries, subjects)
+        merged = engine.search_merged(queries, subjects)
+        assert whole.columns == merged.columns
+        want = sorted(map(repr, whole.collect()))
+        assert sorted(map(repr, merged.collect())) == want and len(want) >= 3 * min(hits, 20) - 8
+
+
+def test_search_of_copies_looks_at_each_text_once(spark, monkeypatch):
+    seen = []
+    before = search.Engine.triggers
+    monkeypatch.setattr(search.Engine, "triggers", lambda self, q, s, *a: seen.append(s.count()) or before(self, q, s, *a))
+    names = seqs(spark, [(i, "", "hotbolt" if i % 2 else "oldring") for i in range(500)])
+    assert search.Engine(spark).search_merged(seqs(spark, [(1, "", "hotboltoldring" * 3)]), names).count() == 0
+    assert seen == [2]
