@@ -7,7 +7,7 @@ so that unseen forms of a known stem still count. Scoring looks up one number pe
 
 The fit uses at most ``FIT_ROWS`` labelled rows, half of each label, whole texts of any length: the first in an order by hash of
 doc_id, until the rows of a label hold ``FIT_CHARS`` / 2 characters (the row that crosses the bound is the last), from the folds that may be learned from.
-That bounds what the driver holds, but for one text a label; the model is a fixed-size array.
+That bounds what the task that fits holds, but for one text a label; the model is a fixed-size array, and all that the driver gets.
 
 Edge cases: null and empty texts are one empty sentence and get its probability; labels of rows without a document
 are unused; repeated rows are scored each by itself; without usable labels the model is its prior (score near 0);
@@ -135,11 +135,17 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_chars:
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"])  # fit_rows documents
     order = Window.partitionBy(F.col("toxic") == 1).orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     before = F.coalesce(F.sum(F.length(F.coalesce("text", F.lit("")))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    got = found.withColumn("before", before).where(F.col("before") < fit_chars / 2).drop("before").toPandas()
-    got = got.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
-    if got.empty:
+
+    def run(got: pd.DataFrame) -> pd.DataFrame:
+        got = got.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
+        weights, bias = fit_texts(list(got["text"]), got["toxic"].to_numpy() == 1)
+        return pd.DataFrame({"weights": [weights.tobytes()], "bias": [bias]})
+
+    # fitted in a task, so that the driver gets the model only
+    model = found.withColumn("before", before).where(F.col("before") < fit_chars / 2).withColumn("before", F.lit(0)).groupBy("before").applyInPandas(run, "weights binary, bias double").first()
+    if model is None:
         return np.zeros(FEATURES), PRIOR
-    return fit_texts(list(got["text"]), got["toxic"].to_numpy() == 1)
+    return np.frombuffer(model["weights"]), model["bias"]
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

@@ -491,3 +491,17 @@ def test_scores_find_the_text_without_article_elements():
     pages = [h for h in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist() if h]
     same = [html_extract.main_text(h.replace("<article", "<div").replace("</article", "</div")) == html_extract.main_text(h) for h in pages]
     assert np.mean(same) >= 0.9
+
+
+def test_toxicity_is_fitted_without_the_texts_on_the_driver(spark, monkeypatch):
+    d = spark.createDataFrame([(i, "a vile word." if i % 2 else "a good word.") for i in range(40)], "doc_id long, text string")
+    y = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+
+    def kept_out(self):
+        raise AssertionError("rows came to the driver")
+
+    monkeypatch.setattr(type(d), "toPandas", kept_out)
+    weights, bias = toxicity.fit(d, y)
+    rows = [(i, i % 2) for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    want = toxicity.fit_texts(["a vile word." if k else "a good word." for _, k in rows], np.array([k == 1 for _, k in rows]))
+    assert np.array_equal(weights, want[0]) and bias == want[1]
